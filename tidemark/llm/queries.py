@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.clock import clock_seconds, day_number, running_seconds
 from tidemark.llm.consensus import agreement, every_id, fit_consensus, judge_labels
+from tidemark.llm.lookalikes import canonical_texts, same_looking_pairs, text_keys
 from tidemark.llm.nearest_time import nearest_in_time
+from tidemark.llm.neighbours import nearest_vectors
 from tidemark.llm.record_hash import collapse_records, readable_records
 from tidemark.registry import Registry
 from tidemark.runtime import table
@@ -106,3 +108,29 @@ def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each record once, with the number of responses that hold it."""
     same = collapse_records(readable_records(table(spark, sf_dir, "openie_raw")))
     return same.groupBy(F.col("keep_id").alias("resp_id")).agg(F.count("*").alias("copies"))
+
+
+SIMILAR = 0.85
+
+
+def clip_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_vectors(table(spark, sf_dir, "visual_embeddings"), vec_id="vec_id", embedding="embedding", dim=64, k=5, floor=SIMILAR)
+
+
+@registry.add("p3_found")
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clip_neighbours(spark, sf_dir).selectExpr("least(src, dst) AS vec_a", "greatest(src, dst) AS vec_b").distinct()
+
+
+@registry.add("p10_found")
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return same_looking_pairs(text_keys(table(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
+@registry.add("p10_changed")
+def p10_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By language: documents, and those whose text was not in the one form."""
+    d = table(spark, sf_dir, "documents")
+    forms = canonical_texts(d, "doc_id", "text").where("text IS NOT NULL")
+    langs = d.select("doc_id", F.lower("lang").alias("lang"))
+    return forms.select("doc_id", "changed").join(langs, "doc_id").groupBy("lang").agg(F.count("*").alias("docs"), F.sum(F.col("changed").cast("long")).alias("changed"))
