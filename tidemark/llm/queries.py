@@ -10,6 +10,7 @@ from tidemark.llm.consensus import agreement, every_id, fit_consensus, judge_lab
 from tidemark.llm.lookalikes import canonical_texts, same_looking_pairs, text_keys
 from tidemark.llm.nearest_time import nearest_in_time
 from tidemark.llm.neighbours import nearest_vectors
+from tidemark.llm.pair_defects import CUTOFF, best_defect, defect_posteriors
 from tidemark.llm.record_hash import collapse_records, readable_records
 from tidemark.registry import Registry
 from tidemark.runtime import table
@@ -134,3 +135,19 @@ def p10_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     forms = canonical_texts(d, "doc_id", "text").where("text IS NOT NULL")
     langs = d.select("doc_id", F.lower("lang").alias("lang"))
     return forms.select("doc_id", "changed").join(langs, "doc_id").groupBy("lang").agg(F.count("*").alias("docs"), F.sum(F.col("changed").cast("long")).alias("changed"))
+
+
+def answer_posteriors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "qa_results").selectExpr("pair_id", "question", "CASE WHEN type = 'mcq' THEN model_option ELSE answer END AS response")
+    return defect_posteriors(rows, "pair_id", "question", "response")
+
+
+@registry.add("p7_found")
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_defect(answer_posteriors(spark, sf_dir))
+
+
+@registry.add("p7_labels")
+def p7_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every defect whose posterior reaches the cutoff; a pair may have several."""
+    return answer_posteriors(spark, sf_dir).where(F.col("posterior") >= CUTOFF).selectExpr("pair_id", "defect", "round(posterior, 4) AS posterior")
