@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from tidemark.functions.clock import clock_seconds, day_number, running_seconds
 from tidemark.llm.consensus import agreement, every_id, fit_consensus, judge_labels
 from tidemark.llm.lookalikes import canonical_texts, same_looking_pairs, text_keys
+from tidemark.llm.mixing import mix_copies, mix_report
 from tidemark.llm.nearest_time import nearest_in_time
 from tidemark.llm.neighbours import nearest_vectors
+from tidemark.llm.packing import pack
 from tidemark.llm.pair_defects import CUTOFF, best_defect, defect_posteriors
 from tidemark.llm.record_hash import collapse_records, readable_records
+from tidemark.llm.tokens import token_counts
 from tidemark.registry import Registry
 from tidemark.runtime import table
 
@@ -151,3 +154,40 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every defect whose posterior reaches the cutoff; a pair may have several."""
     return answer_posteriors(spark, sf_dir).where(F.col("posterior") >= CUTOFF).selectExpr("pair_id", "defect", "round(posterior, 4) AS posterior")
+
+
+def packed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in containers of every kind; kinds of one capacity share their containers."""
+    kinds = table(spark, sf_dir, "containers").where("capacity_tokens > 0").select("container_kind", F.col("capacity_tokens").cast("long").alias("capacity")).distinct()
+    capacities = [r["capacity"] for r in kinds.select("capacity").distinct().collect()]
+    items = token_counts(table(spark, sf_dir, "documents"), "text", ["doc_id"])
+    packed = pack(items, capacities, "doc_id", "tokens")
+    return packed.join(F.broadcast(kinds), "capacity").select("container_kind", "capacity", "container", F.col("item").alias("doc_id"), "piece", F.col("size").alias("tokens"))
+
+
+@registry.add("p8_packed")
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(spark, sf_dir)
+
+
+@registry.add("p8_fill")
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By kind: containers, tokens, the share of room used and the fewest containers that could do."""
+    each = packed_documents(spark, sf_dir).where("tokens > 0").groupBy("container_kind", "capacity", "container").agg(F.sum("tokens").alias("used"))
+    return each.groupBy("container_kind", "capacity").agg(F.count("*").alias("containers"), F.sum("used").alias("tokens")).selectExpr("container_kind", "containers", "tokens", "round(tokens / (containers * capacity), 6) AS fill", "CAST(ceil(tokens / capacity) AS bigint) AS fewest")
+
+
+def mixed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = token_counts(table(spark, sf_dir, "documents"), "text", ["doc_id", "source"])
+    return mix_copies(sizes, table(spark, sf_dir, "mix_targets"))
+
+
+@registry.add("p9_copies")
+def p9_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_documents(spark, sf_dir)
+
+
+@registry.add("p9_shares")
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of each source."""
+    return mix_report(mixed_documents(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
