@@ -3,7 +3,7 @@
 Every source is used as often as its share asks for: a whole number of times, and a rest that is an inclusion
 probability. The flight phase moves the probabilities of three documents at a time along the null space of
 the constraints - number of documents and number of tokens - until one of them is 0 or 1; so both totals stay
-exact. It runs in every partition and source on its own, which leaves at most two documents undecided there;
+exact. Documents fly from the largest to the smallest, so that small ones are left undecided. It runs in every partition and source on its own, which leaves at most two documents undecided there;
 those of a source fly again together, and its last two are the landing problem.
 """
 
@@ -108,14 +108,14 @@ def mix_copies(sizes: DataFrame, targets: DataFrame, seed: int = 1) -> DataFrame
             p = max(0.0, repeats[s] - whole[s])
             rng = np.random.default_rng([seed, part, zlib.crc32(s.encode())])
             made = np.zeros(len(ids))
-            for k, inclusion in flight(((k, p, float(t)) for k, t in enumerate(tokens)), rng):
+            for k, inclusion in flight(((int(k), p, float(tokens[k])) for k in np.argsort(-np.array(tokens), kind="stable")), rng):
                 made[k] = inclusion
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s] * len(ids)), pa.array(tokens, pa.int64()), pa.array(made)], names=["doc_id", "source", "tokens", "p"])
 
     def settle(table: pa.Table) -> pa.Table:
         ids, tokens, p = (table.column(c).to_pylist() for c in ("doc_id", "tokens", "p"))
         s = table.column("source")[0].as_py()
-        order = sorted(range(len(ids)), key=lambda k: (ids[k], tokens[k], p[k]))
+        order = sorted(range(len(ids)), key=lambda k: (-tokens[k], ids[k], p[k]))
         made = dict(flight(((k, p[k], float(tokens[k])) for k in order), np.random.default_rng([seed, zlib.crc32(s.encode())])))
         made |= land([(k, x, float(tokens[k])) for k, x in made.items() if 0 < x < 1])
         return table.set_column(table.schema.get_field_index("p"), "p", pa.array([made[k] for k in range(len(ids))]))
