@@ -1,10 +1,11 @@
 """Mixing sources to target shares of the total size by balanced sampling with the cube method.
 
 Every source is used as often as its share asks for: a whole number of times, and a rest that is an inclusion
-probability. The flight phase moves the probabilities of three documents at a time along the null space of
-the constraints - number of documents and number of tokens - until one of them is 0 or 1; so both totals stay
-exact. Documents fly from the largest to the smallest, so that small ones are left undecided. It runs in every partition and source on its own, which leaves at most two documents undecided there;
-those of a source fly again together, and its last two are the landing problem.
+probability. The flight phase moves probabilities along the null space of the constraints - number of documents
+and number of tokens - until one of them is 0 or 1; so both totals stay exact. In every partition and source
+it moves three documents at a time, from the largest to the smallest. The largest ones, which three could not
+balance, and a few small ones wait, with the last two, for a second flight of all that a source has left: there
+each large document moves against all smaller ones at once. The last two are the landing problem.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 
 from tidemark.runtime import cut
 
+HEAVY = 0.01  # share of a source's tokens in a partition from which a document is decided in the second flight
+RESERVE = 256  # documents of a partition and source that wait with them
 
 def flight(units: Iterator[tuple[int, float, float]], rng: np.random.Generator) -> Iterator[tuple[int, float]]:
     """(unit, inclusion) from (unit, probability, size); all but at most two inclusions are 0 or 1.
@@ -56,6 +59,39 @@ def flight(units: Iterator[tuple[int, float, float]], rng: np.random.Generator)
         yield unit, p
 
 
+def heavy_flight(p: np.ndarray, t: np.ndarray, share: float, rng: np.random.Generator) -> np.ndarray:
+    """Decides units that hold more than ``share`` of the size of all, largest first, each against all smaller ones.
+
+    The direction of a step has 1 for the large unit and, for the others, what keeps number and size: a
+    linear function of the size times p (1 - p). A unit that meets a bound on the way stays there.
+    """
+    p = p.copy()
+    order = np.argsort(-t, kind="stable")
+    eps = 1e-9
+    for at, b in enumerate(order):
+        if t[b] <= share * t.sum():
+            break
+        others = order[at + 1 :]
+        for _ in range(len(others) + 1):
+            free = others[(p[others] > eps) & (p[others] < 1 - eps)]
+            if not eps < p[b] < 1 - eps or len(free) < 3:
+                break
+            g, x = p[free] * (1 - p[free]), t[free]
+            m = np.array([[g.sum(), (g * x).sum()], [(g * x).sum(), (g * x * x).sum()]])
+            if np.linalg.cond(m / m.max()) > 1e12:
+                break
+            a, c = np.linalg.solve(m, [-1.0, -t[b]])
+            u = g * (a + c * x)
+            with np.errstate(divide="ignore"):
+                up = min(1 - p[b], np.where(u > 0, (1 - p[free]) / u, np.where(u < 0, -p[free] / u, np.inf)).min())
+                down = min(p[b], np.where(u > 0, p[free] / u, np.where(u < 0, -(1 - p[free]) / u, np.inf)).min())
+            step = up if rng.random() * (up + down) < down else -down
+            p[b] += step
+            p[free] += step * u
+    p[p <= eps], p[p >= 1 - eps] = 0.0, 1.0
+    return p
+
+
 def land(units: list[tuple[int, float, float]]) -> dict[int, float]:
     """Inclusions of the few undecided units: the choice that leaves the totals of tokens, then of units, closest."""
     tokens, number = sum(p * s for _, p, s in units), sum(p for _, p, _ in units)
@@ -107,8 +143,12 @@ def mix_copies(sizes: DataFrame, targets: DataFrame, seed: int = 1) -> DataFrame
             ids, tokens = by[s]
             p = max(0.0, repeats[s] - whole[s])
             rng = np.random.default_rng([seed, part, zlib.crc32(s.encode())])
-            made = np.zeros(len(ids))
-            for k, inclusion in flight(((int(k), p, float(tokens[k])) for k in np.argsort(-np.array(tokens), kind="stable")), rng):
+            size = np.array(tokens, float)
+            # those that three cannot balance, and a few light ones to balance them with, wait for the second flight
+            waits = size > HEAVY * size.sum()
+            waits[rng.permutation(np.flatnonzero(~waits))[:RESERVE]] = True
+            made = np.where(waits, p, 0.0)
+            for k, inclusion in flight(((int(k), p, float(size[k])) for k in np.argsort(-size, kind="stable") if not waits[k]), rng):
                 made[k] = inclusion
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s] * len(ids)), pa.array(tokens, pa.int64()), pa.array(made)], names=["doc_id", "source", "tokens", "p"])
 
@@ -116,7 +156,10 @@ def mix_copies(sizes: DataFrame, targets: DataFrame, seed: int = 1) -> DataFrame
         ids, tokens, p = (table.column(c).to_pylist() for c in ("doc_id", "tokens", "p"))
         s = table.column("source")[0].as_py()
         order = sorted(range(len(ids)), key=lambda k: (-tokens[k], ids[k], p[k]))
-        made = dict(flight(((k, p[k], float(tokens[k])) for k in order), np.random.default_rng([seed, zlib.crc32(s.encode())])))
+        rng = np.random.default_rng([seed, zlib.crc32(s.encode())])
+        size = np.array([tokens[k] for k in order], float)
+        now = heavy_flight(np.array([p[k] for k in order]), size, HEAVY / 4, rng)
+        made = {order[k]: x for k, x in flight(((k, float(now[k]), float(size[k])) for k in range(len(order))), rng)}
         made |= land([(k, x, float(tokens[k])) for k, x in made.items() if 0 < x < 1])
         return table.set_column(table.schema.get_field_index("p"), "p", pa.array([made[k] for k in range(len(ids))]))
 
