@@ -47,7 +47,7 @@ def choice_letter(text: str) -> str:
     return (
         "coalesce(" + ", ".join([
             first(r"^\(?([A-Da-d])\)?\.?$"), first(r"^\(?([A-Da-d])[).:,\s]"), first(r"(?i)answer\s*(?:is)?\s*:?\s*\(?([A-D])\b"), first(r"(?i)option\s*(?:is)?\s*:?\s*\(?([A-D])\b"),
-            first(r"(?i)choice\s*(?:would be|is)?\s*:?\s*\(?([A-D])\b"), f"nullif(upper(element_at(regexp_extract_all({tail}, {quoted(chr(92) + 'b([A-D])' + chr(92) + 'b')}, 1), -1)), '')",
+            first(r"(?i)choice\s*(?:would be|is)?\s*:?\s*\(?([A-D])\b"), f"nullif(upper(try_element_at(regexp_extract_all({tail}, {quoted(chr(92) + 'b([A-D])' + chr(92) + 'b')}, 1), -1)), '')",
         ]) + ")"
     )
 
