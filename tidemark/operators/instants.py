@@ -12,7 +12,7 @@ from __future__ import annotations
 from zoneinfo import available_timezones
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,21 +136,21 @@ def fit_mixtures(counts: DataFrame, rounds: int = 50, pseudo: float = 0.5) -> Da
     Dirichlet prior: a source that never shows which spelling it uses keeps equal weights.
     """
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted({s for row in pdf["spellings"] for s in row})
-        if not names:
-            return pd.DataFrame({"__source": [], "spelling": [], "weight": []})
-        fits = np.array([[s in set(row) for s in names] for row in pdf["spellings"]], float)
-        n = pdf["n"].to_numpy(float)
-        weight = np.full(len(names), 1 / len(names))
-        for _ in range(rounds):
+    def fit(table: pa.Table) -> pa.Table:
+        rows = table.column("spellings").to_pylist()
+        names = sorted({s for row in rows for s in row})
+        fits = np.array([[s in set(row) for s in names] for row in rows], float).reshape(len(rows), len(names))
+        n = table.column("n").to_numpy().astype(float)
+        weight = np.full(len(names), 1 / max(1, len(names)))
+        for _ in range(rounds if names else 0):
             share = fits * weight
             share /= np.maximum(share.sum(1, keepdims=True), 1e-300)
             new = n @ share + pseudo
             weight = new / new.sum()
-        return pd.DataFrame({"__source": pdf["__source"].iloc[0], "spelling": names, "weight": weight})
+        source = table.column("__source")[0].as_py()
+        return pa.table({"__source": pa.array([source] * len(names), pa.string()), "spelling": pa.array(names, pa.string()), "weight": pa.array(weight, pa.float64())})
 
-    return counts.groupBy("__source").applyInPandas(fit, "__source string, spelling string, weight double")
+    return counts.groupBy("__source").applyInArrow(fit, "__source string, spelling string, weight double")
 
 
 def resolve_instants(log: DataFrame, devices: DataFrame, *, row_id: str, source: str, date: Column, time: Column, cutoff: float = 0.95) -> DataFrame:
