@@ -37,7 +37,7 @@ LINE_ENDS = "\n\u0085  \u000b\u000c"
 #: Compatibility forms that differ in width or font only.
 WIDTHS = ("<wide>", "<narrow>", "<noBreak>", "<font>")
 # Scripts in which no character is unstable: ideographs and Hangul syllables.
-STABLE_BLOCKS = [(0x3400, 0x9FFF), (0xAC00, 0xD7A3), (0xD800, 0xF8FF), (0x20000, 0x2F7FF), (0x30000, 0x10FFFF)]
+STABLE_BLOCKS = [(0x3400, 0x9FFF), (0xAC00, 0xD7A3), (0xD800, 0xF8FF), (0x20000, 0x2F7FF), (0x30000, 0xDFFFF), (0xE1000, 0x10FFFF)]
 
 
 def _plain(ch: str) -> str:
