@@ -38,7 +38,7 @@ def as_rows(pdf):
     """Rows in one order and one spelling of values, columns by name."""
 
     def plain(v):
-        if v is None or (isinstance(v, float) and v != v) or str(v) == "NaT":
+        if v is None or (isinstance(v, float) and v != v) or str(v) in ("NaT", "<NA>"):
             return None
         if isinstance(v, bool) or str(type(v).__name__) in ("bool_", "bool"):
             return bool(v)

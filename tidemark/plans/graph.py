@@ -259,16 +259,17 @@ def text_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.bm25(docs, spark.createDataFrame(list(QUESTIONS.items()), "query int, text string"))
 
 
-@registry.add("bm25_topk", f"WITH {_BM25} SELECT query, id, round(score, 6) AS score FROM bm WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, id) <= 10")
+@registry.add("bm25_topk", f"WITH {_BM25} SELECT query, id, round(score, 6) AS score FROM bm WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(bm.score, 9) DESC, id) <= 10")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R3, T2."""
-    return _round(R.top(text_scores(spark, sf_dir), ["query"], 10)).select("query", "id", "score")
+    # sums come in any order: ties are decided on nine digits
+    return _round(R.top(text_scores(spark, sf_dir).withColumn("score", F.round("score", 9)), ["query"], 10)).select("query", "id", "score")
 
 
-@registry.add("reset_vector", f"WITH {_BM25}, mx AS (SELECT query, id, score / max(score) OVER (PARTITION BY query) AS score FROM bm WHERE score > 0), s AS (SELECT * FROM mx QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, id) <= 5), f AS (SELECT query, doc_id AS id, 1.0 / (1 + n_chars) AS score FROM documents, (SELECT DISTINCT query FROM asked) WHERE n_chars > 0 QUALIFY row_number() OVER (PARTITION BY query ORDER BY 1.0 / (1 + n_chars) DESC, doc_id) <= 5), u AS (SELECT query, id, 0.3 * score AS x FROM s UNION ALL SELECT query, id, 0.7 * score FROM f), g AS (SELECT query, id, sum(x) AS x FROM u GROUP BY ALL) SELECT query, id, round(x / sum(x) OVER (PARTITION BY query), 6) AS p FROM g")
+@registry.add("reset_vector", f"WITH {_BM25}, mx AS (SELECT query, id, round(score / max(score) OVER (PARTITION BY query), 9) AS score FROM bm WHERE score > 0), s AS (SELECT * FROM mx QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, id) <= 5), f AS (SELECT query, doc_id AS id, 1.0 / (1 + n_chars) AS score FROM documents, (SELECT DISTINCT query FROM asked) WHERE n_chars > 0 QUALIFY row_number() OVER (PARTITION BY query ORDER BY 1.0 / (1 + n_chars) DESC, doc_id) <= 5), u AS (SELECT query, id, 0.3 * score AS x FROM s UNION ALL SELECT query, id, 0.7 * score FROM f), g AS (SELECT query, id, sum(x) AS x FROM u GROUP BY ALL) SELECT query, id, round(x / sum(x) OVER (PARTITION BY query), 6) AS p FROM g")
 def reset_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seeds of two kinds, weighted and scaled to one."""
-    words = text_scores(spark, sf_dir).selectExpr("query", "id", "score / max(score) OVER (PARTITION BY query) AS score")
+    words = text_scores(spark, sf_dir).selectExpr("query", "id", "round(score / max(score) OVER (PARTITION BY query), 9) AS score")
     shortest = table(spark, sf_dir, "documents").where("n_chars > 0").selectExpr("doc_id AS id", "1D / (1 + n_chars) AS score")
     # the same seeds for all queries: rank once, then name the queries
     five = R.top(shortest.withColumn("all", F.lit(0)), ["all"], 5).select("id", "score")
