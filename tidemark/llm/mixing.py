@@ -109,9 +109,9 @@ def plan_mix(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     have = sizes.groupBy("source").agg(F.sum("tokens").alias("have_tokens"), F.count("*").alias("have_docs"))
     wanted = targets.where("source IS NOT NULL AND target_share > 0 AND max_repeats > 0").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     joined = wanted.join(have, "source", "left").na.fill(0, ["have_tokens", "have_docs"])
-    total = F.min(F.when(F.col("have_tokens") > 0, F.col("max_repeats") * F.col("have_tokens") / F.col("target_share")))
-    # one row per source: the window is over the targets, not over the documents
-    return joined.crossJoin(F.broadcast(joined.agg(total.alias("total")))).selectExpr("source", "target_share", "max_repeats", "CASE WHEN have_tokens > 0 THEN least(target_share * total / have_tokens, CAST(max_repeats AS double)) ELSE 0D END AS repeats", "have_tokens", "have_docs")
+    # the window is over the targets, not over the documents
+    joined = joined.selectExpr("*", "min(CASE WHEN have_tokens > 0 THEN max_repeats * have_tokens / target_share END) OVER () AS total")
+    return joined.selectExpr("source", "target_share", "max_repeats", "CASE WHEN have_tokens > 0 THEN least(target_share * total / have_tokens, CAST(max_repeats AS double)) ELSE 0D END AS repeats", "have_tokens", "have_docs")
 
 
 def mix_copies(sizes: DataFrame, targets: DataFrame, seed: int = 1) -> DataFrame:
