@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.runtime import cut
+
 # Characters of other alphabets, in the order of their code points, and the ones they look like.
 SAME_SHAPE = {
     "ɑ": "a", "ɡ": "g", "ǀ": "|", "ǃ": "!",
@@ -173,7 +175,8 @@ def same_looking_pairs(keys: DataFrame) -> DataFrame:
     document with two texts of one form is no pair; an empty table gives an empty result; other columns do
     not matter.
     """
-    rows = keys.distinct()
+    # digests are small beside the texts: written once, they spare reading and normalising these three times
+    rows = cut(keys.distinct())
     shared = rows.groupBy("form_key").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high")).where("low <> high").select("form_key")
     rows = rows.join(shared, "form_key")
     texts = rows.select("form_key", "text_key").distinct()
