@@ -53,7 +53,7 @@ def nearest_in_time(left: DataFrame, right: DataFrame, *, entity: tuple[str, str
         with duckdb.connect(config={"threads": 1, "memory_limit": "512MB", "preserve_insertion_order": False}) as con:
             con.register("l", l)
             con.register("r", r)
-            found = con.execute(sql).to_arrow_table()
+            found = con.sql(sql).to_arrow_table()
         return found.cast(pa.schema([("e", pa.string()), ("t", pa.int64()), ("d", pa.int64()), ("id", pa.int64())]))
 
     found = moments.groupBy("cell").cogroup(have.groupBy("cell")).applyInArrow(nearest, "e string, t bigint, d bigint, id bigint")
