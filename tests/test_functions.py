@@ -20,7 +20,7 @@ def test_clock(spark):
 
 def test_text(spark):
     say = lambda e: spark.sql(f"SELECT {e}").first()[0]
-    assert say(X.entity_key("'I'", "'A1/JAKE-X'")) == "a1_jake_x" and say(X.entity_key('"Liu Ting\'s"', "'p'")) == "liu_tings"
+    assert say(X.entity_key("'I'", "'B2/ANNA-X'")) == "b2_anna_x" and say(X.entity_key('"Mei Lan\'s"', "'p'")) == "mei_lans"
     assert say(X.answer_form("'The  Cat, a dog and AN owl!'")) == "cat dog and owl"
     assert [say(X.choice_letter(f"'{t}'")) for t in ("(B) because", "The answer is: c", "none of it")] == ["B", "C", None]
     assert [say(X.judge_score(f"'{t}'")) for t in ("Final Score: 4", "2 or 3")] == ["4", "3"]
