@@ -11,16 +11,26 @@ def recurring(mentions: DataFrame, least: int) -> DataFrame:
     return mentions.where(F.length("entity") >= 2).groupBy("subject", "entity").agg(F.countDistinct("ts").alias("times")).where(F.col("times") >= least)
 
 
+#: Characters of words, and blanks around a name, in regular expressions inside of SQL text.
+_WORD, _BLANK = "[\\\\p{L}\\\\p{N}_]", "[\\\\s\\\\p{Z}]"
+
+
 def keyword_hits(entities: DataFrame, captions: DataFrame) -> DataFrame:
-    """(subject, entity, id): captions whose text has the words of an entity in order, whole words, plural or not.
+    """(subject, entity, id): captions whose text has the name of an entity, whole words, plural or not, in any case.
 
-    The first word of an entity meets the words of the captions in an equi-join; the full pattern is tested
-    on what meets.
+    Every name counts, whatever its characters. Each run of word characters in a name stands in the text as a whole word, only
+    the last with a plural's end; the run that is rarest in the subject's captions meets them in an equi-join, and
+    the full pattern is tested on what meets. A name without word characters meets all captions of its subject.
     """
-    first = entities.selectExpr("subject", "entity", "split(lower(entity), ' ')[0] AS w", "concat('(?i)(?<![\\\\p{L}\\\\p{N}_])', regexp_replace(lower(entity), '([^\\\\p{L}\\\\p{N} ])', '\\\\\\\\$1'), '(s|es)?(?![\\\\p{L}\\\\p{N}_])') AS pattern")
-    forms = first.selectExpr("subject", "entity", "pattern", "explode(array_distinct(array(w, concat(w, 's'), concat(w, 'es')))) AS w")
-    words = captions.selectExpr("subject", "id", "text", "explode(array_distinct(split(lower(text), '[^\\\\p{L}\\\\p{N}\\'-]+'))) AS w")
-    return forms.join(words, ["subject", "w"]).where("text RLIKE pattern").select("subject", "entity", "id").distinct()
+    names = entities.selectExpr("subject", "entity", f"regexp_replace(lower(entity), '^{_BLANK}+|{_BLANK}+\\\\z', '') AS name").where("name <> ''").distinct()
+    words = captions.selectExpr("subject", "id", "lower(text) AS text", f"explode(array_union(array(''), regexp_extract_all(lower(text), '{_WORD}+', 0))) AS w")
+    runs = names.selectExpr("*", f"regexp_extract_all(name, '{_WORD}+', 0) AS runs", f"name RLIKE '{_WORD}\\\\z' AS open").selectExpr("*", "posexplode(CASE WHEN size(runs) = 0 THEN array('') ELSE runs END) AS (k, run)")
+    forms = runs.selectExpr("subject", "entity", "name", "k", "explode(CASE WHEN open AND k = size(runs) - 1 THEN array(run, concat(run, 's'), concat(run, 'es')) ELSE array(run) END) AS w")
+    often = words.groupBy("subject", "w").agg(F.count("*").alias("n"))
+    met = forms.join(often, ["subject", "w"]).groupBy("subject", "entity", "name", "k").agg(F.sum("n").alias("n"), F.collect_set("w").alias("ws"))
+    rarest = met.groupBy("subject", "entity", "name").agg(F.min_by("ws", F.struct("n", "k")).alias("ws"))
+    keys = rarest.selectExpr("subject", "entity", f"concat('(?<!{_WORD})', regexp_replace(name, '([^\\\\p{{L}}\\\\p{{N}} ])', '\\\\\\\\$1'), '(s|es)?(?!{_WORD})') AS pattern", "explode(ws) AS w")
+    return keys.join(words, ["subject", "w"]).where("text RLIKE pattern").select("subject", "entity", "id").distinct()
 
 
 def chain_facts(retrieved: DataFrame, hits: DataFrame, facts: DataFrame, covers: DataFrame, least_hits: int, most: int) -> DataFrame:

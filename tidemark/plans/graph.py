@@ -330,7 +330,7 @@ _HITS = f"{CAPS}, {RECS}, names AS (SELECT DISTINCT subject, name FROM ent WHERE
 
 
 def entity_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = entities(spark, sf_dir).where("subject IS NOT NULL AND name RLIKE '^[A-Za-z0-9]+( [A-Za-z0-9]+)*\\\\z'").selectExpr("subject", "name AS entity").distinct()
+    names = entities(spark, sf_dir).where("subject IS NOT NULL").selectExpr("subject", "name AS entity").distinct()
     return C.keyword_hits(names, captions(spark, sf_dir).where("granularity = '30sec'"))
 
 
