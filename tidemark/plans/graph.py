@@ -174,10 +174,10 @@ def _ppr_sql(rounds: int) -> str:
 
 @registry.add("personalized_pagerank", _ppr_sql(PPR_ROUNDS))
 def personalized_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Walks over the entities of all triples that restart at those whose name begins with S or M."""
+    """Where walks over the entities of all triples that restart at names with S or M in front settle; every node reached."""
     edges = G.co_occurrence(triples(spark, sf_dir))
     starts = edges.select("src").distinct().where("src LIKE 'S%' OR src LIKE 'M%'").selectExpr("src AS id", "1D / count(*) OVER () AS p")
-    return G.pagerank(edges, starts, 0.85, PPR_ROUNDS).where("score > 0.000001").selectExpr("id", "round(score, 9) AS score")
+    return G.settled_pagerank(edges, starts, 0.85).selectExpr("id", "round(score, 12) AS score")
 
 
 @registry.add("caption_components", f"WITH {CAPS}, l AS (SELECT id, subject, start_ts, end_ts, lag(end_ts) OVER (PARTITION BY subject ORDER BY start_ts, id) AS e FROM caps WHERE granularity = '30sec'), g AS (SELECT *, sum(CASE WHEN e IS NULL OR start_ts - e > 30 OR start_ts < e THEN 1 ELSE 0 END) OVER (PARTITION BY subject ORDER BY start_ts, id ROWS UNBOUNDED PRECEDING) AS k FROM l) SELECT id, min(id) OVER (PARTITION BY subject, k) AS component FROM g QUALIFY count(*) OVER (PARTITION BY subject, k) > 1")
