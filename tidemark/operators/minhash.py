@@ -1,7 +1,8 @@
-"""Near-duplicate texts: MinHash signatures of word shingles, banded buckets, exact check, components."""
+"""Near-duplicate texts: word shingles, an exact prefix filter, exact check, components."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,8 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.graph import components
 from tidemark.runtime import cut
 
-NGRAM, PERMUTATIONS, BANDS = 5, 128, 16
-PRIME, TOP = np.uint64((1 << 61) - 1), np.uint64((1 << 32) - 1)
+NGRAM, SLOTS = 5, 1 << 18
 
 
 def shingle_hashes(text: str) -> np.ndarray:
@@ -30,44 +30,58 @@ def shingle_hashes(text: str) -> np.ndarray:
     return np.sort(np.fromiter(made, np.uint64, len(made)))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str, text: str, threshold: float = 0.8, seed: int = 1) -> DataFrame:
+def prefix(h: np.ndarray, counts: np.ndarray, threshold: float) -> np.ndarray:
+    """The rarest shingles of a set, one of which it shares with every set whose Jaccard similarity reaches the threshold."""
+    # 1e-9 against products such as 0.8 * 5 that come out above the true number
+    return h[np.lexsort((h, counts[h % np.uint64(len(counts))]))][: len(h) - math.ceil(threshold * len(h) - 1e-9) + 1]
+
+
+def near_duplicates(docs: DataFrame, doc_id: str, text: str, threshold: float = 0.8) -> DataFrame:
     """(doc_id, class_id, links): every document with the smallest id of its class and its number of links to other texts.
 
-    Exact copies are one node; in each band bucket every text links to the smallest id of the bucket and to its
-    predecessor, so a bucket costs as many candidates as members. Candidates are checked by exact Jaccard similarity of
-    their shingles. Texts without words are classes of their own unless equal.
+    Exact copies are one node, and so are texts of equal shingles. Two sets of shingles that reach the threshold share a shingle
+    among the first of each, in any one order of all shingles: so no pair is missed. The order puts rare shingles first, as
+    counted in ``SLOTS`` slots of their hashes; it decides only how many candidates there are. Candidates are checked by exact
+    Jaccard similarity of their shingles. Texts without words are classes of their own unless equal.
     """
-    rng = np.random.default_rng(seed)
-    a = rng.integers(1, 1 << 31, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    b = rng.integers(0, 1 << 61, PERMUTATIONS, dtype=np.uint64)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("id IS NOT NULL")
     keyed = rows.select("id", F.md5("text").alias("key"))
     nodes = cut(keyed.groupBy("key").agg(F.min("id").alias("node")))
     texts = rows.join(nodes.select(F.col("node").alias("id")), "id", "left_semi").dropDuplicates(["id"])
 
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                np.add.at(n, (shingle_hashes(t) % np.uint64(SLOTS)).astype(np.int64), 1)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], names=["slot", "n"])
+
+    counts = np.zeros(SLOTS, np.int64)
+    # at most one row a slot comes to the driver
+    seen = texts.select("text").mapInArrow(slots, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts[seen.column(0).to_numpy()] = seen.column(1).to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            ids, bands, hashes = [], [], []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                h = shingle_hashes(t)
-                if not len(h):
-                    continue
-                low = np.full(PERMUTATIONS, np.iinfo(np.uint64).max, np.uint64)
-                for lo in range(0, len(h), 4096):
-                    with np.errstate(over="ignore"):
-                        low = np.minimum(low, ((h[lo : lo + 4096, None] * a + b) % PRIME & TOP).min(0))
-                for k, part in enumerate(low.reshape(BANDS, -1)):
-                    ids.append(i)
-                    bands.append(k)
-                    hashes.append(xxhash.xxh3_64_intdigest(part.tobytes()) - (1 << 63))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bands, pa.int32()), pa.array(hashes, pa.int64())], names=["id", "band", "h"])
-
-    signed = texts.mapInArrow(sign, "id bigint, band int, h bigint").distinct()
-    # smallest member and predecessor: no bucket is expanded into pairs
-    linked = signed.selectExpr("id", "min(id) OVER (PARTITION BY band, h) AS low", "lag(id) OVER (PARTITION BY band, h ORDER BY id) AS before")
-    pairs = linked.select(F.expr("inline(array(struct(low AS a, id AS b), struct(before AS a, id AS b)))")).where("a IS NOT NULL AND a <> b").distinct()
+            made = [(i, h) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if len(h := shingle_hashes(t))]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([i for i, _ in made], pa.int64()), pa.array([len(h) for _, h in made], pa.int32()), pa.array([xxhash.xxh3_128_digest(h.tobytes()) for _, h in made], pa.binary()),
+                    pa.array([prefix(h, shared.value, threshold).view(np.int64) for _, h in made], pa.list_(pa.int64())),
+                ],
+                names=["id", "size", "shingles", "first"],
+            )
+
+    signed = cut(texts.mapInArrow(sign, "id bigint, size int, shingles binary, first array<bigint>"))
+    alike = cut(signed.groupBy("shingles").agg(F.min("id").alias("low"), F.count("*").alias("copies")))
+    sets = signed.join(alike.select(F.col("low").alias("id")), "id", "left_semi").select("id", "size", F.explode("first").alias("h"))
+    met = cut(sets.selectExpr("*", "count(*) OVER (PARTITION BY h) AS n").where("n > 1").drop("n"))
+    other = met.selectExpr("h", "id AS b", "size AS other")
+    pairs = met.withColumnRenamed("id", "a").join(other, "h").where(f"a < b AND least(size, other) >= {threshold}D * greatest(size, other) - 1e-9D").select("a", "b").distinct()
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,8 +92,11 @@ def near_duplicates(docs: DataFrame, doc_id: str, text: str, threshold: float =
 
     full = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
     edges = cut(full.mapInArrow(similar, "a bigint, b bigint"))
-    classes = components(edges)
-    links = edges.select(F.expr("explode(array(a, b)) AS node")).groupBy("node").agg(F.count("*").alias("links"))
-    members = keyed.join(nodes, "key").select("id", "node")
-    found = members.join(classes.withColumnRenamed("id", "node"), "node", "left").join(links, "node", "left")
-    return found.selectExpr("id AS doc_id", "coalesce(component, node) AS class_id", "coalesce(links, 0L) AS links")
+    classes = components(edges).selectExpr("id AS low", "component")
+    # a link to a set is one to each of its texts
+    ends = edges.select(F.expr("inline(array(struct(a AS low, b AS far), struct(b AS low, a AS far)))"))
+    far = ends.join(alike.selectExpr("low AS far", "copies AS c"), "far").groupBy("low").agg(F.sum("c").alias("links"))
+    sums = alike.join(far, "low", "left").join(classes, "low", "left").selectExpr("shingles", "coalesce(component, low) AS class_id", "copies - 1 + coalesce(links, 0L) AS links")
+    placed = signed.join(sums, "shingles").selectExpr("id AS node", "class_id", "links")
+    members = keyed.join(nodes, "key").select("id", "node").join(placed, "node", "left")
+    return members.selectExpr("id AS doc_id", "coalesce(class_id, node) AS class_id", "coalesce(links, 0L) AS links")
