@@ -46,3 +46,14 @@ def test_groups_of_near_copies(spark):
         texts[len(texts)] = t or ""
     ids = rng.sample(range(1000), len(texts))
     check(spark, {i: t for i, t in zip(ids, texts.values())})
+
+
+def test_no_pair_at_the_threshold_is_missed(spark):
+    texts = {}
+    for k in range(300):
+        words = [f"w{k}x{i}" for i in range(94)]
+        # of 90 shingles each, 80 in common: 0.80; every third pair 81 in common: 0.82; some 79: too few
+        lost = (10, 10, 9)[k % 3] if k % 10 else 11
+        texts[2 * k], texts[2 * k + 1] = " ".join(words), " ".join(words[:-lost] + [f"v{k}x{i}" for i in range(lost)])
+    assert sum(links for _, links in brute(texts).values()) == 540
+    check(spark, texts)
