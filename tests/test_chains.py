@@ -14,8 +14,9 @@ TEXTS = [
 def brute(names, texts):
     hits = set()
     for e in names:
-        if n := e.lower().strip():
-            hits |= {(e, k) for k, t in enumerate(texts) if re.search(rf"(?<!\w){re.escape(n)}(?:s|es)?(?!\w)", t.lower())}
+        n = e.lower().strip()
+        for v in {n, n.replace("-", " "), n.replace("-", ""), n.replace(" ", "-"), n.replace(" ", "")} - {""}:
+            hits |= {(e, k) for k, t in enumerate(texts) if re.search(rf"(?<!\w){re.escape(v)}(?:s|es)?(?!\w)", t.lower())}
     return hits
 
 
@@ -47,3 +48,11 @@ def test_query_drops_no_name(spark):
         for e, _ in brute(names[s], texts[s]):
             want[s, e] = want.get((s, e), 0) + 1
     assert {(r["subject"], r["entity"]): r["captions"] for r in entry.queries()["keyword_captions"](spark, SMALL).collect()} == want
+
+
+def test_hyphen_space_and_joined_spellings(spark):
+    texts = ["the camera strap", "two camera-straps", "a CAMERASTRAP", "camerastraps", "camera  strap", "camera strapped", "a glass camera strap"]
+    hits = found(spark, ["camera-strap", "camera strap", "camerastrap"], texts)
+    assert hits == brute(["camera-strap", "camera strap", "camerastrap"], texts)
+    assert {k for e, k in hits if e == "camera-strap"} == {k for e, k in hits if e == "camera strap"} == {0, 1, 2, 3, 6}
+    assert {k for e, k in hits if e == "camerastrap"} == {2, 3}

@@ -18,11 +18,12 @@ _WORD, _BLANK = "[\\\\p{L}\\\\p{N}_]", "[\\\\s\\\\p{Z}]"
 def keyword_hits(entities: DataFrame, captions: DataFrame) -> DataFrame:
     """(subject, entity, id): captions whose text has the name of an entity, whole words, plural or not, in any case.
 
-    Every name counts, whatever its characters. Each run of word characters in a name stands in the text as a whole word, only
+    Every name counts, whatever its characters, as it is, with its hyphens as spaces or left out, and with its spaces as hyphens or left out. Each run of word characters in a name stands in the text as a whole word, only
     the last with a plural's end; the run that is rarest in the subject's captions meets them in an equi-join, and
     the full pattern is tested on what meets. A name without word characters meets all captions of its subject.
     """
-    names = entities.selectExpr("subject", "entity", f"regexp_replace(lower(entity), '^{_BLANK}+|{_BLANK}+\\\\z', '') AS name").where("name <> ''").distinct()
+    spelled = entities.selectExpr("subject", "entity", f"regexp_replace(lower(entity), '^{_BLANK}+|{_BLANK}+\\\\z', '') AS name")
+    names = spelled.selectExpr("subject", "entity", "explode(array(name, replace(name, '-', ' '), replace(name, '-', ''), replace(name, ' ', '-'), replace(name, ' ', ''))) AS name").where("name <> ''").distinct()
     words = captions.selectExpr("subject", "id", "lower(text) AS text", f"explode(array_union(array(''), regexp_extract_all(lower(text), '{_WORD}+', 0))) AS w")
     runs = names.selectExpr("*", f"regexp_extract_all(name, '{_WORD}+', 0) AS runs", f"name RLIKE '{_WORD}\\\\z' AS open").selectExpr("*", "posexplode(CASE WHEN size(runs) = 0 THEN array('') ELSE runs END) AS (k, run)")
     forms = runs.selectExpr("subject", "entity", "name", "k", "explode(CASE WHEN open AND k = size(runs) - 1 THEN array(run, concat(run, 's'), concat(run, 'es')) ELSE array(run) END) AS w")
