@@ -84,7 +84,7 @@ def accuracy_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add("breakdown_buckets", "WITH e AS (SELECT DISTINCT result_id, coalesce(len(list_filter(round_history, lambda r: contains(r.retrieved_content, 'kettle'))) > 0, false) AS topic, coalesce(len(list_filter(round_history, lambda r: contains(r.retrieved_content, 'balcony'))) > 0, false) AS event, CAST(coalesce(evaluate, false) AS BIGINT) AS base, CAST(coalesce(smoothed_score, 0) >= 0.5 AS BIGINT) AS chain FROM eval_results), b AS (SELECT *, CASE WHEN topic AND event THEN 'Both' WHEN topic THEN 'Topic only' WHEN event THEN 'Event only' ELSE 'None' END AS k FROM e), x AS (SELECT unnest(CASE WHEN k = 'None' THEN [k, 'All'] ELSE [k, 'All', 'Any'] END) AS bucket, base, chain FROM b) SELECT bucket, count(*) AS n, CAST(sum(base) AS BIGINT) AS base, CAST(sum(chain) AS BIGINT) AS chain, round((sum(chain) - sum(base)) * 100.0 / count(*), 4) AS delta FROM x GROUP BY bucket")
 def breakdown_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Results by what the retrieved contents mention."""
+    """Results by what the retrieved contents mention."""
     marks = lambda w: f"coalesce(exists(round_history, r -> contains(r.retrieved_content, '{w}')), false)"
     e = table(spark, sf_dir, "eval_results").selectExpr("result_id", f"{marks('kettle')} AS topic", f"{marks('balcony')} AS event", "CAST(coalesce(evaluate, false) AS bigint) AS base", "CAST(coalesce(smoothed_score, 0) >= 0.5 AS bigint) AS chain")
     return M.breakdown(e.distinct())
@@ -157,7 +157,7 @@ def qrels_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add("label_pools", "SELECT label, count(*) AS own, CAST((SELECT count(*) FROM embeddings) - count(*) AS BIGINT) AS others, min(vec_id) AS first_id FROM embeddings GROUP BY label")
 def label_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The size of each label's pool of positives and of negatives."""
+    """The size of each label's pool of positives and of negatives."""
     e = table(spark, sf_dir, "embeddings")
     return e.groupBy("label").agg(F.count("*").alias("own"), F.min("vec_id").alias("first_id")).join(F.broadcast(e.agg(F.count("*").alias("total")))).selectExpr("label", "own", "total - own AS others", "first_id")
 

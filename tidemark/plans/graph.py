@@ -174,7 +174,7 @@ def _ppr_sql(rounds: int) -> str:
 
 @registry.add("personalized_pagerank", _ppr_sql(PPR_ROUNDS))
 def personalized_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where walks over the entities of all triples that restart at names with S or M in front settle; every node reached."""
+    """Where walks over the entities of all triples that restart at names with S or M in front settle; every node reached."""
     edges = G.co_occurrence(triples(spark, sf_dir))
     starts = edges.select("src").distinct().where("src LIKE 'S%' OR src LIKE 'M%'").selectExpr("src AS id", "1D / count(*) OVER () AS p")
     return G.settled_pagerank(edges, starts, 0.85).selectExpr("id", "round(score, 12) AS score")
@@ -282,7 +282,7 @@ _FACTS = f"WITH {RECS}, {_ASKED}, fw AS (SELECT resp_id, s, p, o, md5(s || '|' |
 
 @registry.add("fact_phrases", _FACTS)
 def fact_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The walk's start from the facts that share most words with a question."""
+    """The walk's start from the facts that share most words with a question."""
     t = triples(spark, sf_dir)
     asked = spark.createDataFrame(list(QUESTIONS.items()), "query int, text string")
     facts = t.selectExpr("s", "o", "md5(concat_ws('|', s, p, o)) AS fact", "array_distinct(split(lower(concat_ws(' ', s, p, o)), ' ')) AS ws").distinct()
