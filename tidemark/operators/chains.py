@@ -24,14 +24,16 @@ def keyword_hits(entities: DataFrame, captions: DataFrame) -> DataFrame:
     """
     spelled = entities.selectExpr("subject", "entity", f"regexp_replace(lower(entity), '^{_BLANK}+|{_BLANK}+\\\\z', '') AS name")
     names = spelled.selectExpr("subject", "entity", "explode(array(name, replace(name, '-', ' '), replace(name, '-', ''), replace(name, ' ', '-'), replace(name, ' ', ''))) AS name").where("name <> ''").distinct()
-    words = captions.selectExpr("subject", "id", "lower(text) AS text", f"explode(array_union(array(''), regexp_extract_all(lower(text), '{_WORD}+', 0))) AS w")
+    words = captions.selectExpr("subject", "id", f"explode(array_union(array(''), regexp_extract_all(lower(text), '{_WORD}+', 0))) AS w")
     runs = names.selectExpr("*", f"regexp_extract_all(name, '{_WORD}+', 0) AS runs", f"name RLIKE '{_WORD}\\\\z' AS open").selectExpr("*", "posexplode(CASE WHEN size(runs) = 0 THEN array('') ELSE runs END) AS (k, run)")
     forms = runs.selectExpr("subject", "entity", "name", "k", "explode(CASE WHEN open AND k = size(runs) - 1 THEN array(run, concat(run, 's'), concat(run, 'es')) ELSE array(run) END) AS w")
     often = words.groupBy("subject", "w").agg(F.count("*").alias("n"))
     met = forms.join(often, ["subject", "w"]).groupBy("subject", "entity", "name", "k").agg(F.sum("n").alias("n"), F.collect_set("w").alias("ws"))
     rarest = met.groupBy("subject", "entity", "name").agg(F.min_by("ws", F.struct("n", "k")).alias("ws"))
     keys = rarest.selectExpr("subject", "entity", f"concat('(?<!{_WORD})', regexp_replace(name, '([^\\\\p{{L}}\\\\p{{N}} ])', '\\\\\\\\$1'), '(s|es)?(?!{_WORD})') AS pattern", "explode(ws) AS w")
-    return keys.join(words, ["subject", "w"]).where("text RLIKE pattern").select("subject", "entity", "id").distinct()
+    # texts come after the words have met, so that they are not moved once a word
+    met = keys.join(words, ["subject", "w"]).select("subject", "id", "entity", "pattern").distinct()
+    return met.join(captions.selectExpr("subject", "id", "lower(text) AS text"), ["subject", "id"]).where("text RLIKE pattern").select("subject", "entity", "id").distinct()
 
 
 def chain_facts(retrieved: DataFrame, hits: DataFrame, facts: DataFrame, covers: DataFrame, least_hits: int, most: int) -> DataFrame:
