@@ -162,22 +162,22 @@ def asof_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.visible(caps.unionByName(ents).unionByName(sems), edges, 200000.0)[1].groupBy("src", "dst").agg(F.count("*").alias("times"))
 
 
-PPR_ROUNDS = 6
+#: Steps of the plain walk in SQL; what is undecided after them, 0.85 to that power, lies below what is compared.
+SQL_STEPS = 250
+_WALK = """d AS (SELECT s, o FROM tri WHERE s <> o), b AS (SELECT s AS src, o AS dst FROM d UNION ALL SELECT o, s FROM d), e AS (SELECT src, dst, CAST(count(*) AS DOUBLE) AS weight FROM b GROUP BY ALL),
+st AS MATERIALIZED (SELECT src, sum(weight) AS total FROM e GROUP BY src), step AS MATERIALIZED (SELECT e.src, dst, weight / total AS part FROM e JOIN st ON st.src = e.src)"""
+_PPR = f"""WITH RECURSIVE {RECS}, {_WALK}, start AS MATERIALIZED (SELECT src AS id, 1.0::DOUBLE / count(*) OVER () AS p FROM st WHERE src LIKE 'S%' OR src LIKE 'M%'),
+w AS (SELECT 0 AS k, id, p AS score FROM start UNION ALL SELECT k, id, sum(x) FROM (SELECT w.k + 1 AS k, dst AS id, 0.85 * w.score * part AS x FROM w JOIN step ON step.src = w.id WHERE w.k < {SQL_STEPS}
+  UNION ALL SELECT m.k + 1, start.id, 0.15 * p FROM start, (SELECT max(k) AS k FROM w) m WHERE m.k < {SQL_STEPS}) GROUP BY k, id)
+SELECT id, round(score, 9) AS score FROM w WHERE k = {SQL_STEPS}"""
 
 
-def _ppr_sql(rounds: int) -> str:
-    out = f"WITH {RECS}, d AS (SELECT s, o FROM tri WHERE s <> o), b AS (SELECT s AS src, o AS dst FROM d UNION ALL SELECT o, s FROM d), e AS (SELECT src, dst, CAST(count(*) AS DOUBLE) AS weight FROM b GROUP BY ALL), st AS (SELECT src, sum(weight) AS total FROM e GROUP BY src), step AS (SELECT e.src, dst, weight / total AS part FROM e JOIN st ON st.src = e.src), r0s AS (SELECT src AS id, 1.0::DOUBLE / count(*) OVER () AS p FROM st WHERE src LIKE 'S%' OR src LIKE 'M%'), s0 AS (SELECT id, p AS score FROM r0s)"
-    for k in range(rounds):
-        out += f", m{k} AS (SELECT dst AS id, 0.85 * sum(score * part) AS x FROM s{k} JOIN step ON step.src = s{k}.id GROUP BY dst), s{k + 1} AS (SELECT id, sum(x) AS score FROM (SELECT * FROM m{k} UNION ALL SELECT id, 0.15 * p FROM r0s) GROUP BY id)"
-    return out + f" SELECT id, round(score, 9) AS score FROM s{rounds} WHERE score > 0.000001"
-
-
-@registry.add("personalized_pagerank", _ppr_sql(PPR_ROUNDS))
+@registry.add("personalized_pagerank", _PPR)
 def personalized_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where walks over the entities of all triples that restart at names with S or M in front settle; every node reached."""
     edges = G.co_occurrence(triples(spark, sf_dir))
     starts = edges.select("src").distinct().where("src LIKE 'S%' OR src LIKE 'M%'").selectExpr("src AS id", "1D / count(*) OVER () AS p")
-    return G.settled_pagerank(edges, starts, 0.85).selectExpr("id", "round(score, 12) AS score")
+    return G.settled_pagerank(edges, starts, 0.85).selectExpr("id", "round(score, 9) AS score")
 
 
 @registry.add("caption_components", f"WITH {CAPS}, l AS (SELECT id, subject, start_ts, end_ts, lag(end_ts) OVER (PARTITION BY subject ORDER BY start_ts, id) AS e FROM caps WHERE granularity = '30sec'), g AS (SELECT *, sum(CASE WHEN e IS NULL OR start_ts - e > 30 OR start_ts < e THEN 1 ELSE 0 END) OVER (PARTITION BY subject ORDER BY start_ts, id ROWS UNBOUNDED PRECEDING) AS k FROM l) SELECT id, min(id) OVER (PARTITION BY subject, k) AS component FROM g QUALIFY count(*) OVER (PARTITION BY subject, k) > 1")
@@ -326,7 +326,12 @@ def recurring_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.recurring(entities(spark, sf_dir).where("subject IS NOT NULL").selectExpr("subject", "name AS entity", "created_at AS ts"), 2)
 
 
-_HITS = f"{CAPS}, {RECS}, names AS (SELECT DISTINCT subject, name FROM ent WHERE subject IS NOT NULL AND regexp_full_match(name, '[A-Za-z0-9]+( [A-Za-z0-9]+)*')), hits AS (SELECT DISTINCT n.subject, n.name AS entity, c.id FROM names n JOIN caps c ON c.subject = n.subject AND c.granularity = '30sec' AND contains(lower(c.text), lower(n.name)) AND regexp_matches(lower(c.text), '(^|[^\\p{{L}}\\p{{N}}_])' || lower(n.name) || '(s|es)?([^\\p{{L}}\\p{{N}}_]|$)'))"
+#: Letters, digits and marks that may not stand beside a name, and the blanks around one.
+_LETTER, _BLANKS = "[\\p{L}\\p{N}_]", "[\\s\\p{Z}]"
+_HITS = f"""{CAPS}, {RECS}, named AS (SELECT DISTINCT subject, name, regexp_replace(lower(name), '^{_BLANKS}+|{_BLANKS}+$', '', 'g') AS low FROM ent WHERE subject IS NOT NULL AND name IS NOT NULL),
+forms AS (SELECT DISTINCT subject, name, unnest([low, replace(low, '-', ' '), replace(low, '-', ''), replace(low, ' ', '-'), replace(low, ' ', '')]) AS form FROM named),
+pats AS (SELECT subject, name, form, '(^|[^\\p{{L}}\\p{{N}}_])' || regexp_escape(form) || '(s|es)?([^\\p{{L}}\\p{{N}}_]|$)' AS pattern FROM forms WHERE form <> ''),
+hits AS (SELECT DISTINCT n.subject, n.name AS entity, c.id FROM pats n JOIN caps c ON c.subject = n.subject AND c.granularity = '30sec' AND contains(lower(c.text), n.form) AND regexp_matches(lower(c.text), n.pattern))"""
 
 
 def entity_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
