@@ -109,6 +109,34 @@ def test_neighbours_defined_cases(spark):
     assert found == {k: set(sorted(set(range(10)) - {k})[:5]) for k in range(10)}
 
 
+def test_split_cells_keep_recall(spark):
+    rng = np.random.default_rng(14)
+    centers = rng.normal(size=(60, 8))
+    x = centers[rng.integers(0, 60, 1500)] + 0.15 * rng.normal(size=(1500, 8))
+    found = top5(spark, [(k, [float(v) for v in row]) for k, row in enumerate(x)], cell_rows=60, most_coarse=6)
+    u = x.astype("float32") / np.linalg.norm(x.astype("float32"), axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    want = {(a, int(b)) for a in range(1500) for b in np.argsort(-s[a])[:5]}
+    assert len({(r["src"], r["dst"]) for r in found} & want) / len(want) >= 0.9
+
+
+def test_cells_grow_with_the_vectors():
+    rng = np.random.default_rng(15)
+    x = rng.normal(size=(4000, 8)).astype("float32")
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for total in (4e3, 4e6, 4e9):
+        assert abs(len(neighbours.fit(x, total, 800, 8000, 0.2).blocks) / min(total / 800, 250**2) - 1) < 0.3
+    model = neighbours.fit(x, 4e6, 800, 8000, 0.2)
+    own, near = model.cells(x, 6)
+    assert (near[:, 0] == own).all() and all(len(set(row)) == 6 for row in near.tolist())
+
+
+def test_copies_have_ranks(spark):
+    found = {(r["src"], r["dst"]): r["rank"] for r in top5(spark, [(k, [1.0] * 8) for k in range(9)])}
+    assert [found[8, k] for k in range(5)] == [1, 2, 3, 4, 5] and [found[0, k] for k in range(1, 6)] == [1, 2, 3, 4, 5]
+
+
 def test_blocks_lose_nothing(spark):
     rng = np.random.default_rng(5)
     rows = [(k, [float(v) for v in 1 + 0.3 * rng.normal(size=8)]) for k in range(300)]

@@ -1,12 +1,14 @@
 """The k most similar vectors for every vector, by score-aware quantisation.
 
-A coarse partition of the sphere sends every vector to one cell as a candidate and to its few nearest cells as a
-query. In a cell the candidates' residuals from the centroid are quantised to four bits for every four
+A partition of the sphere sends every vector to one cell as a candidate and to its few nearest cells as a
+query. Cells grow in number with the vectors: beyond what a sample can fit, each coarse cell is split by one
+codebook of offsets that all share, so that a cell holds about the same number of vectors whatever their number.
+In a cell the candidates' residuals from the centroid are quantised to four bits for every four
 dimensions; the codes minimise a loss in which the part of the error parallel to the vector, the part
 that changes large inner products, weighs more. Queries score all candidates of the cell by table look-ups
 over the codes, and the best are ranked again by their exact cosine.
 
-The model (centroids and code words) is fitted on a bounded sample and small; every row is indexed and queried.
+The model (centroids, offsets and code words) is fitted on a bounded sample and small; every row is indexed and queried.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE = 32_768  # vectors that the model is fitted on, at most
+SAMPLE = 16_384  # vectors that the model is fitted on, about
 BOOK_SAMPLE = 8_192  # of them, so many for the code words
 WORDS = 16  # code words of a subspace: four bits
 SUBSPACE = 4
@@ -29,11 +31,43 @@ COPIES = 6  # of identical vectors, so many take part in the search; k below mus
 
 @dataclass
 class Model:
-    centroids: np.ndarray  # cells x dim
+    centroids: np.ndarray  # coarse cells x dim
+    offsets: np.ndarray  # by how much the cells of a coarse cell lie beside its centroid; one offset of zero if there is but one
     books: np.ndarray  # subspaces x WORDS x SUBSPACE
     eta: float
     blocks: np.ndarray  # into how many blocks each cell is cut
 
+    def centre(self, cell: int) -> np.ndarray:
+        return self.centroids[cell // len(self.offsets)] + self.offsets[cell % len(self.offsets)]
+
+    def cells(self, x: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
+        """(own, near): the cell of each unit vector and the ``many`` nearest ones, its own first."""
+        n, k = len(self.centroids), len(self.offsets)
+        sims = x @ self.centroids.T
+        if k == 1:
+            near = np.argpartition(-sims, many - 1, axis=1)[:, :many] if many < n else np.argsort(-sims, axis=1)
+            own = sims.argmax(1)
+            # its own cell first, the others as they come
+            near = np.where(near == near[:, :1], own[:, None], np.where(near == own[:, None], near[:, :1], near)) if many > 1 else own[:, None]
+            return own, near
+        coarse = min(n, max(2, many))
+        if len(x) > (rows := max(1, (1 << 22) // (coarse * k))):
+            parts = [self.cells(x[lo : lo + rows], many) for lo in range(0, len(x), rows)]
+            return tuple(np.concatenate(p) for p in zip(*parts))
+        wide = np.argpartition(-sims, coarse - 1, axis=1)[:, :coarse] if coarse < n else np.argsort(-sims, axis=1)
+        top = sims.argmax(1)
+        # |x - c - o|^2 without what is the same for all cells
+        far = (self.centroids**2).sum(1)[wide][:, :, None] - 2 * np.take_along_axis(sims, wide, 1)[:, :, None]
+        far = far + (self.offsets**2).sum(1) - 2 * (x @ self.offsets.T)[:, None, :] + 2 * (self.centroids @ self.offsets.T)[wide]
+        cell = wide[:, :, None] * k + np.arange(k)
+        at_home = np.where((wide == top[:, None])[:, :, None], far, np.inf).reshape(len(x), -1)
+        flat, names = far.reshape(len(x), -1), cell.reshape(len(x), -1)
+        home = at_home.argmin(1)
+        own = names[np.arange(len(x)), home]
+        flat[np.arange(len(x)), home] = -np.inf
+        near = np.take_along_axis(names, np.argsort(flat, axis=1)[:, :many], 1)
+        return own, near
+
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
     rng = np.random.default_rng(seed)
@@ -105,17 +139,36 @@ def fit_books(r: np.ndarray, x: np.ndarray, eta: float, rounds: int = 6, seed: i
     return books
 
 
-def fit(sample: np.ndarray, weight: float, cell_rows: int, block_rows: int, threshold: float) -> Model:
-    """``weight`` is the number of rows that a sampled vector stands for."""
+def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 13) -> np.ndarray:
+    rng = np.random.default_rng(seed)
+    centers = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
+    for _ in range(rounds):
+        at = ((centers**2).sum(1) - 2 * x @ centers.T).argmin(1)
+        order = np.argsort(at, kind="stable")
+        held, first, size = np.unique(at[order], return_index=True, return_counts=True)
+        centers[held] = np.add.reduceat(x[order], first, axis=0) / size[:, None]
+    return centers.astype("float32")
+
+
+def fit(sample: np.ndarray, total: float, cell_rows: int, block_rows: int, threshold: float, most_coarse: int = 0) -> Model:
+    """``total`` is the number of rows that the sample stands for; ``most_coarse`` bounds the coarse cells, by default to one for 16 sampled vectors."""
     dim = sample.shape[1]
-    k = int(np.clip(round(len(sample) * weight / cell_rows), 1, max(1, len(sample) // 16)))
+    wanted = max(1, round(total / cell_rows))
+    k = int(min(wanted, most_coarse or max(1, len(sample) // 16)))
     centroids = spherical_kmeans(sample, k)
-    at = (sample @ centroids.T).argmax(1)
+    offsets = np.zeros((1, dim), np.float32)
+    split = math.ceil(wanted / k)
+    if split > 1:
+        at = (sample @ centroids.T).argmax(1)
+        offsets = kmeans(sample - centroids[at], min(split, max(1, len(sample) // 16)))
+    model = Model(centroids, offsets, np.zeros((0, WORDS, SUBSPACE)), 1.0, np.ones(len(centroids) * len(offsets), int))
+    at = model.cells(sample, 1)[0]
     eta = max(1.0, (dim - 1) * threshold**2 / (1 - threshold**2))
     few = slice(None, BOOK_SAMPLE)  # the sample is shuffled, so its head is a sample of it
-    books = fit_books((sample - centroids[at])[few], sample[few], eta)
-    sizes = np.bincount(at, minlength=len(centroids)) * weight
-    return Model(centroids, books, eta, np.maximum(1, np.ceil(sizes / block_rows)).astype(int))
+    left = sample - centroids[at // len(offsets)] - offsets[at % len(offsets)]
+    books = fit_books(left[few], sample[few], eta)
+    sizes = np.bincount(at, minlength=len(centroids) * len(offsets)) * (total / len(sample))
+    return Model(centroids, offsets, books, eta, np.maximum(1, np.ceil(sizes / block_rows)).astype(int))
 
 
 def scan(q: np.ndarray, codes: np.ndarray, books: np.ndarray) -> np.ndarray:
@@ -160,14 +213,15 @@ def _matrix(column, dim: int) -> np.ndarray:
     return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def nearest_vectors(vectors: DataFrame, *, vec_id: str, embedding: str, dim: int, k: int = 5, floor: float = -1.0, probes: int = 3, rerank: int = 24, cell_rows: int = 800, block_rows: int = 8_000, threshold: float = 0.2) -> DataFrame:
+def nearest_vectors(vectors: DataFrame, *, vec_id: str, embedding: str, dim: int, k: int = 5, floor: float = -1.0, probes: int = 3, rerank: int = 24, cell_rows: int = 800, block_rows: int = 8_000, threshold: float = 0.2, most_coarse: int = 0) -> DataFrame:
     """(src, dst, cosine, rank): up to k most similar other vectors of every usable vector.
 
     ``floor`` leaves out neighbours whose cosine is lower. ``probes`` cells are searched for each vector and
-    ``rerank`` candidates of each cell get their exact cosine; neighbours found from the other side count too.
-    Equal cosines rank by id. Of vectors that are identical (to five digits of their direction) the six of smallest
-    ids take part in the search; each other one has the five smallest of them as its neighbours, which
-    is what the exact ranking gives.
+    ``rerank`` candidates of each cell get their exact cosine; neighbours found from the other side count too. Where
+    coarse cells are split (``most_coarse``), twice as many of the smaller cells are searched.
+    Cosines are compared to eight digits, equal ones rank by id. Directions that agree to five digits in each number have a
+    cosine of 1 to eight digits; of more than six such vectors those of the six smallest ids take part in the
+    search, and each other one has the ``k`` smallest of them as its neighbours, which is what that ranking gives.
 
     Defined cases: null, short, long, zero and not finite vectors and null ids are left out; rows delivered twice
     count once; an empty table, or one usable vector, gives an empty result; lengths do not matter; other
@@ -196,26 +250,24 @@ def nearest_vectors(vectors: DataFrame, *, vec_id: str, embedding: str, dim: int
     followers = copies.join(firsts, "key").where("NOT array_contains(first, id)").select("id", "first")
 
     total = vectors.count()
-    step = max(1, math.ceil(total / SAMPLE))
-    sample = raw.where(F.expr(f"pmod(xxhash64(id), {step}) = 0")).limit(2 * SAMPLE).toArrow()
+    share = min(1.0, SAMPLE / max(1, total))
+    sample = raw.where(F.expr(f"pmod(xxhash64(id), {1 << 40}) < {round(share * (1 << 40))}")).limit(2 * SAMPLE).toArrow()
     ids, drawn = usable_units(sample.column("id").combine_chunks(), sample.column("v").combine_chunks(), dim)
     if not len(ids):
         return spark.createDataFrame([], "src bigint, dst bigint, cosine double, rank int")
     # by id, then shuffled with a fixed seed: the same sample whatever the order of the files
     drawn = drawn[np.unique(ids, return_index=True)[1]]
     drawn = drawn[np.random.default_rng(3).permutation(len(drawn))]
-    shared = spark.sparkContext.broadcast(fit(drawn, step, cell_rows, block_rows, threshold))
+    shared = spark.sparkContext.broadcast(fit(drawn, len(drawn) / share, cell_rows, block_rows, threshold, most_coarse))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        many = min(probes, len(model.centroids))
+        many = min(probes * (1 if len(model.offsets) == 1 else 2), len(model.blocks))
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids, x = batch.column("id").to_numpy(), batch.column("v").flatten().to_numpy().reshape(-1, dim)
-            sims = x @ model.centroids.T
-            near = np.argpartition(-sims, many - 1, axis=1)[:, :many] if many < sims.shape[1] else np.argsort(-sims, axis=1)
-            own = sims.argmax(1)
+            own, near = model.cells(x, many)
             row = np.repeat(np.arange(len(ids)), many)
             cell = near.ravel()
             home = cell == own[row]
@@ -235,12 +287,12 @@ def nearest_vectors(vectors: DataFrame, *, vec_id: str, embedding: str, dim: int
             # in its own (block, block) group a vector at home is both query and candidate
             role = np.where(as_query, np.where(home & (at == block), 3, 1), 2).astype("int8")
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cell.astype("int32")), pa.array(q.astype("int32")), pa.array(d.astype("int32")), pa.array(role), pa.array(ids[row]), _floats(x[row])], names=["cell", "q", "d", "role", "id", "v"]
+                [pa.array(cell.astype("int64")), pa.array(q.astype("int32")), pa.array(d.astype("int32")), pa.array(role), pa.array(ids[row]), _floats(x[row])], names=["cell", "q", "d", "role", "id", "v"]
             )
 
     def search(group: pa.Table) -> pa.Table:
         model = shared.value
-        centre = model.centroids[group.column("cell")[0].as_py()]
+        centre = model.centre(group.column("cell")[0].as_py())
         role, ids, x = group.column("role").to_numpy(), group.column("id").to_numpy(), _matrix(group.column("v"), dim)
         keep = np.unique(ids, return_index=True)[1]
         role, ids, x = role[keep], ids[keep], x[keep]
@@ -260,11 +312,11 @@ def nearest_vectors(vectors: DataFrame, *, vec_id: str, embedding: str, dim: int
                 src.append(ids[rows][at[0]])
                 dst.append(db_ids[top[at]])
                 cos.append(exact[at])
-        return pa.table({"src": np.concatenate(src), "dst": np.concatenate(dst), "cosine": np.round(np.concatenate(cos), 9)})
+        return pa.table({"src": np.concatenate(src), "dst": np.concatenate(dst), "cosine": np.round(np.concatenate(cos), 8)})
 
     searched = unit.join(followers.select("id"), "id", "left_anti")
-    found = searched.select("id", "v").mapInArrow(assign, "cell int, q int, d int, role tinyint, id bigint, v array<float>").groupBy("cell", "q", "d").applyInArrow(search, "src bigint, dst bigint, cosine double")
+    found = searched.select("id", "v").mapInArrow(assign, "cell bigint, q int, d int, role tinyint, id bigint, v array<float>").groupBy("cell", "q", "d").applyInArrow(search, "src bigint, dst bigint, cosine double")
     both = found.select(F.explode(F.array(F.struct("src", "dst", "cosine"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), "cosine"))).alias("x")).select("x.*")
-    copied = followers.select(F.col("id").alias("src"), F.explode(F.slice("first", 1, k)).alias("dst"), F.lit(1.0).alias("cosine"))
+    copied = followers.select(F.col("id").alias("src"), F.posexplode(F.slice("first", 1, k)).alias("rank", "dst"))
     ranked = both.repartition("src").groupBy("src", "dst").agg(F.max("cosine").alias("cosine")).selectExpr("src", "dst", "cosine", "row_number() OVER (PARTITION BY src ORDER BY cosine DESC, dst) AS rank").where(f"rank <= {k}")
-    return ranked.unionByName(copied.selectExpr("src", "dst", "cosine", "CAST(1 AS int) AS rank"))
+    return ranked.unionByName(copied.selectExpr("src", "dst", "1D AS cosine", "rank + 1 AS rank").where(F.lit(1.0 >= floor)))
