@@ -177,6 +177,12 @@ def test_records(spark):
     assert record_hash.collapse_records(record_hash.readable_records(df.limit(0))).count() == 0
 
 
+def test_records_of_one_digest_are_compared(spark, monkeypatch):
+    made = spark.createDataFrame([(1, b"d", "x"), (2, b"d", "y"), (3, b"d", "x"), (4, b"e", "x"), (5, b"f", "z"), (6, b"f", "z")], "resp_id long, root binary, shape string")
+    monkeypatch.setattr(record_hash, "record_digests", lambda records: made)
+    assert {tuple(r) for r in record_hash.collapse_records(made).collect()} == {(1, 1), (2, 2), (3, 1), (4, 4), (5, 5), (6, 5)}
+
+
 # --- pair defects ---
 
 PAIRS = [
@@ -253,6 +259,25 @@ def test_mixing(spark):
     assert mixing.mix_copies(df.limit(0), targets).count() == 0
 
 
+def test_mixing_tree_keeps_groups_small(spark, monkeypatch):
+    rng = random.Random(16)
+    docs = [(k, rng.choice("aab"), rng.choice([5, rng.randint(1, 400), 3000 if rng.random() < 0.02 else 7])) for k in range(6000)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, tokens long").repartition(60)
+    targets = spark.createDataFrame([("a", 0.6, 1), ("b", 0.4, 3)], "source string, target_share double, max_repeats int")
+    largest, by = [], type(df).groupBy
+
+    def watched(self, *cols):
+        if cols == ("source", "node"):
+            largest.append(by(self, *cols).count().agg(F.max("count")).first()[0])
+        return by(self, *cols)
+
+    monkeypatch.setattr(type(df), "groupBy", watched)
+    copies = mixing.mix_copies(df, targets, fan_in=4)
+    report = {r["source"]: r["actual_share"] for r in mixing.mix_report(copies, targets).collect()}
+    assert abs(report["a"] - 0.6) < 0.002 and copies.count() == 6000
+    assert len(largest) == 3 and max(largest) <= 4 * (1 / mixing.HEAVY + mixing.RESERVE + 2)
+
+
 def test_flight_is_balanced_and_unbiased():
     rng = np.random.default_rng(10)
     sizes, p = rng.lognormal(5, 1, 60), rng.uniform(0.05, 0.95, 60)

@@ -4,8 +4,9 @@ Every source is used as often as its share asks for: a whole number of times, an
 probability. The flight phase moves probabilities along the null space of the constraints - number of documents
 and number of tokens - until one of them is 0 or 1; so both totals stay exact. In every partition and source
 it moves three documents at a time, from the largest to the smallest. The largest ones, which three could not
-balance, and a few small ones wait, with the last two, for a second flight of all that a source has left: there
-each large document moves against all smaller ones at once. The last two are the landing problem.
+balance, and a few small ones wait, with the last two, for a further flight: there each large document moves against
+all smaller ones at once. Further flights form a tree, each over what at most 64 earlier ones left of a source,
+so that no task gets more than a bounded number of documents; the last two of the last one are the landing problem.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 
 from tidemark.runtime import cut
 
-HEAVY = 0.01  # share of a source's tokens in a partition from which a document is decided in the second flight
-RESERVE = 256  # documents of a partition and source that wait with them
+HEAVY = 0.01  # share of a source's tokens in a flight from which a document waits for the next one; at most 1 / HEAVY can
+RESERVE = 256  # documents of a flight that wait with them
+FAN_IN = 64  # flights whose rest the next one takes
+
 
 def flight(units: Iterator[tuple[int, float, float]], rng: np.random.Generator) -> Iterator[tuple[int, float]]:
     """(unit, inclusion) from (unit, probability, size); all but at most two inclusions are 0 or 1.
@@ -92,6 +95,13 @@ def heavy_flight(p: np.ndarray, t: np.ndarray, share: float, rng: np.random.Gene
     return p
 
 
+def waiting(size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Which units wait for the next flight: those that three cannot balance, and a few light ones to balance them with."""
+    waits = size > HEAVY * size.sum()
+    waits[rng.permutation(np.flatnonzero(~waits))[:RESERVE]] = True
+    return waits
+
+
 def land(units: list[tuple[int, float, float]]) -> dict[int, float]:
     """Inclusions of the few undecided units: the choice that leaves the totals of tokens, then of units, closest."""
     tokens, number = sum(p * s for _, p, s in units), sum(p for _, p, _ in units)
@@ -114,16 +124,17 @@ def plan_mix(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     return joined.selectExpr("source", "target_share", "max_repeats", "CASE WHEN have_tokens > 0 THEN least(target_share * total / have_tokens, CAST(max_repeats AS double)) ELSE 0D END AS repeats", "have_tokens", "have_docs")
 
 
-def mix_copies(sizes: DataFrame, targets: DataFrame, seed: int = 1) -> DataFrame:
+def mix_copies(sizes: DataFrame, targets: DataFrame, seed: int = 1, fan_in: int = FAN_IN) -> DataFrame:
     """(doc_id, source, tokens, copies) of every document of a target source.
 
-    ``sizes`` has ``doc_id, source, tokens``. No document has more copies than its source's ``max_repeats``.
+    ``sizes`` has ``doc_id, source, tokens``. No document has more copies than its source's ``max_repeats``. A flight of the
+    tree gets at most ``fan_in * (1 / HEAVY + RESERVE + 2)`` documents of a source.
 
     Defined cases: documents without id or source, or of other sources, are left out; a document of size 0 is
     drawn like others; repeated rows are documents of their own; equal sizes keep the count exact; an empty
     table gives an empty result; other columns do not matter.
     """
-    rows = cut(sizes.select("doc_id", "source", F.coalesce("tokens", F.lit(0)).alias("tokens")).where("doc_id IS NOT NULL AND source IS NOT NULL"))
+    rows = cut(sizes.select("doc_id", "source", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens")).where("doc_id IS NOT NULL AND source IS NOT NULL"))
     plan = plan_mix(rows, targets).where("repeats > 0").select("source", "repeats").toPandas()  # one row for each target
     repeats = dict(zip(plan["source"], plan["repeats"].astype(float)))
     whole = {s: int(np.floor(r + 1e-9)) for s, r in repeats.items()}
@@ -144,31 +155,44 @@ def mix_copies(sizes: DataFrame, targets: DataFrame, seed: int = 1) -> DataFrame
             p = max(0.0, repeats[s] - whole[s])
             rng = np.random.default_rng([seed, part, zlib.crc32(s.encode())])
             size = np.array(tokens, float)
-            # those that three cannot balance, and a few light ones to balance them with, wait for the second flight
-            waits = size > HEAVY * size.sum()
-            waits[rng.permutation(np.flatnonzero(~waits))[:RESERVE]] = True
-            made = np.where(waits, p, 0.0)
+            made = np.full(len(ids), p)
+            waits = waiting(size, rng)
             for k, inclusion in flight(((int(k), p, float(size[k])) for k in np.argsort(-size, kind="stable") if not waits[k]), rng):
                 made[k] = inclusion
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s] * len(ids)), pa.array(tokens, pa.int64()), pa.array(made)], names=["doc_id", "source", "tokens", "p"])
-
-    def settle(table: pa.Table) -> pa.Table:
-        ids, tokens, p = (table.column(c).to_pylist() for c in ("doc_id", "tokens", "p"))
-        s = table.column("source")[0].as_py()
-        order = sorted(range(len(ids)), key=lambda k: (-tokens[k], ids[k], p[k]))
-        rng = np.random.default_rng([seed, zlib.crc32(s.encode())])
-        size = np.array([tokens[k] for k in order], float)
-        now = heavy_flight(np.array([p[k] for k in order]), size, HEAVY / 4, rng)
-        made = {order[k]: x for k, x in flight(((k, float(now[k]), float(size[k])) for k in range(len(order))), rng)}
-        made |= land([(k, x, float(tokens[k])) for k, x in made.items() if 0 < x < 1])
-        return table.set_column(table.schema.get_field_index("p"), "p", pa.array([made[k] for k in range(len(ids))]))
-
-    schema = "doc_id bigint, source string, tokens bigint, p double"
-    flown = rows.mapInArrow(fly, schema)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s] * len(ids)), pa.array(tokens, pa.int64()), pa.array(made), pa.array([part] * len(ids), pa.int32())], names=["doc_id", "source", "tokens", "p", "node"])
+
+    def further(last: bool):
+        def run(table: pa.Table) -> pa.Table:
+            ids, tokens, p = (table.column(c).to_pylist() for c in ("doc_id", "tokens", "p"))
+            s, node = table.column("source")[0].as_py(), table.column("node")[0].as_py()
+            order = sorted(range(len(ids)), key=lambda k: (-tokens[k], ids[k], p[k]))
+            rng = np.random.default_rng([seed, 1 << 31, node, zlib.crc32(s.encode())])
+            size = np.array([tokens[k] for k in order], float)
+            now = heavy_flight(np.array([p[k] for k in order]), size, HEAVY / 4, rng)
+            waits = np.zeros(len(order), bool) if last else waiting(size, rng) & (now > 0) & (now < 1)
+            made = {k: float(now[k]) for k in range(len(order)) if waits[k]}
+            made |= dict(flight(((k, float(now[k]), float(size[k])) for k in range(len(order)) if not waits[k]), rng))
+            if last:
+                made |= land([(k, x, float(size[k])) for k, x in made.items() if 0 < x < 1])
+            back = {order[k]: x for k, x in made.items()}
+            return table.set_column(table.schema.get_field_index("p"), "p", pa.array([back[k] for k in range(len(ids))]))
+
+        return run
+
+    schema = "doc_id bigint, source string, tokens bigint, p double, node int"
+    flown = cut(rows.mapInArrow(fly, schema))
+    nodes = flown.rdd.getNumPartitions()
     decided = flown.where("p = 0 OR p = 1")
-    settled = flown.where("p > 0 AND p < 1").groupBy("source").applyInArrow(settle, schema)
+    while True:
+        nodes = -(-nodes // fan_in)
+        open_ones = flown.where("p > 0 AND p < 1").withColumn("node", F.expr(f"CAST(node DIV {fan_in} AS int)"))
+        flown = open_ones.groupBy("source", "node").applyInArrow(further(nodes <= 1), schema)
+        if nodes <= 1:
+            break
+        flown = cut(flown)
+        decided = decided.unionByName(flown.where("p = 0 OR p = 1"))
     base = ", ".join(f"'{s}', {w}" for s, w in sorted(whole.items())) if whole else "'', 0"
-    return decided.unionByName(settled).selectExpr("doc_id", "source", "tokens", f"CAST(p AS int) + element_at(map({base}), source) AS copies")
+    return decided.unionByName(flown).selectExpr("doc_id", "source", "tokens", f"CAST(p AS int) + element_at(map({base}), source) AS copies")
 
 
 def mix_report(copies: DataFrame, targets: DataFrame) -> DataFrame:

@@ -7,7 +7,6 @@ merged, as items of the size used so far, in groups of a bounded number of parti
 
 from __future__ import annotations
 
-import math
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -20,7 +19,7 @@ from tidemark.runtime import cut
 OPEN = 256
 MERGED_PARTITIONS = 64
 _ITEMS = pa.list_(pa.struct([("item", pa.int64()), ("piece", pa.int32()), ("size", pa.int64())]))
-_ROWS = "container string, capacity bigint, used bigint, items array<struct<item: bigint, piece: int, size: bigint>>"
+_ROWS = "container string, capacity bigint, used bigint, items array<struct<item: bigint, piece: int, size: bigint>>, part int"
 
 
 class BestFit:
@@ -60,10 +59,11 @@ class BestFit:
         return [[k, self.capacity - room, self.content[k]] for room, k in self.free]
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
+def _batch(rows: list[tuple], part: int) -> pa.RecordBatch:
+    """Containers; ``part`` is the partition that left them open, or -1 if they are closed."""
     names, capacities, used, items = zip(*rows)
     lists = [[{"item": i, "piece": p, "size": s} for i, p, s in x] for x in items]
-    return pa.RecordBatch.from_arrays([pa.array(names), pa.array(capacities, pa.int64()), pa.array(used, pa.int64()), pa.array(lists, _ITEMS)], names=["container", "capacity", "used", "items"])
+    return pa.RecordBatch.from_arrays([pa.array(names), pa.array(capacities, pa.int64()), pa.array(used, pa.int64()), pa.array(lists, _ITEMS), pa.array([part] * len(rows), pa.int32())], names=["container", "capacity", "used", "items", "part"])
 
 
 def pack(items: DataFrame, capacities: list[int], item: str, size: str) -> DataFrame:
@@ -78,45 +78,41 @@ def pack(items: DataFrame, capacities: list[int], item: str, size: str) -> DataF
     """
     if any(c < 1 for c in capacities):
         raise ValueError("capacities must be positive")
-    rows = cut(items.select(F.col(f"`{item}`").cast("long").alias("item"), F.greatest(F.coalesce(F.col(f"`{size}`").cast("long"), F.lit(0)), F.lit(0)).alias("size")).where("item IS NOT NULL"))
+    rows = items.select(F.col(f"`{item}`").cast("long").alias("item"), F.greatest(F.coalesce(F.col(f"`{size}`").cast("long"), F.lit(0)), F.lit(0)).alias("size")).where("item IS NOT NULL")
     capacities = sorted(set(capacities))
 
-    def place(want_open: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
-
-            part = TaskContext.get().partitionId()
-            bins = {c: BestFit(c) for c in capacities}
-            whole = dict.fromkeys(capacities, 0)
-            out: list[tuple] = []
-            for batch in batches:
-                for i, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    for c in capacities:
-                        if s == 0:
-                            out.append((f"{part}-z", c, 0, [(i, 0, 0)]))
-                            continue
-                        pieces = (s - 1) // c
-                        for p in range(pieces):
-                            out.append((f"{part}-w{whole[c]}", c, c, [(i, p, c)]))
-                            whole[c] += 1
-                        left = s - pieces * c
-                        closed = bins[c].add(left, [(i, pieces, left)])
-                        if closed:
-                            out.append((f"{part}-{closed[0]}", c, closed[1], closed[2]))
-                        spare = bins[c].__dict__.pop("spare", None)
-                        if spare:
-                            out.append((f"{part}-{spare[0]}", c, spare[1], spare[2]))
-                if len(out) > 4096 and not want_open:
-                    yield _batch(out)
-                    out = []
-                elif want_open:
-                    out = []
-            if want_open:
-                out = [(f"{part}-{k}", c, used, held) for c in capacities for k, used, held in bins[c].rest()]
-            for lo in range(0, len(out), 4096):
-                yield _batch(out[lo : lo + 4096])
-
-        return run
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        bins = {c: BestFit(c) for c in capacities}
+        whole = dict.fromkeys(capacities, 0)
+        out: list[tuple] = []
+        for batch in batches:
+            for i, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for c in capacities:
+                    if s == 0:
+                        out.append((f"{part}-z", c, 0, [(i, 0, 0)]))
+                        continue
+                    pieces = (s - 1) // c
+                    for p in range(pieces):
+                        out.append((f"{part}-w{whole[c]}", c, c, [(i, p, c)]))
+                        whole[c] += 1
+                    left = s - pieces * c
+                    closed = bins[c].add(left, [(i, pieces, left)])
+                    if closed:
+                        out.append((f"{part}-{closed[0]}", c, closed[1], closed[2]))
+                    spare = bins[c].__dict__.pop("spare", None)
+                    if spare:
+                        out.append((f"{part}-{spare[0]}", c, spare[1], spare[2]))
+            if len(out) > 4096:
+                yield _batch(out, -1)
+                out = []
+        for lo in range(0, len(out), 4096):
+            yield _batch(out[lo : lo + 4096], -1)
+        out = [(f"{part}-{k}", c, used, held) for c in capacities for k, used, held in bins[c].rest()]
+        for lo in range(0, len(out), 4096):
+            yield _batch(out[lo : lo + 4096], part)
 
     def merge(table: pa.Table) -> pa.Table:
         c = table.column("capacity")[0].as_py()
@@ -128,12 +124,10 @@ def pack(items: DataFrame, capacities: list[int], item: str, size: str) -> DataF
             if closed:
                 out.append(closed)
         made = [(f"m{group}-{k}", c, used, inside) for k, used, inside in [*out, *bins.rest()]]
-        return pa.Table.from_batches([_batch(made)])
+        return pa.Table.from_batches([_batch(made, -1)])
 
-    # both read the checkpoint, so that they see the same partitions in the same order
-    closed = rows.mapInArrow(place(False), _ROWS)
-    left = rows.mapInArrow(place(True), _ROWS)
-    groups = max(1, math.ceil(rows.rdd.getNumPartitions() / MERGED_PARTITIONS))
-    left = left.withColumn("group", F.expr(f"pmod(CAST(substring_index(container, '-', 1) AS int), {groups})"))
+    # one pass; what it leaves open carries its partition's number, and is merged by groups of partitions
+    placed = cut(rows.mapInArrow(place, _ROWS))
+    left = placed.where("part >= 0").withColumn("group", F.expr(f"part DIV {MERGED_PARTITIONS}"))
     merged = left.groupBy("capacity", "group").applyInArrow(merge, _ROWS)
-    return closed.unionByName(merged).select("capacity", "container", F.inline("items")).select("capacity", "container", "item", "piece", "size")
+    return placed.where("part < 0").unionByName(merged).select("capacity", "container", F.inline("items")).select("capacity", "container", "item", "piece", "size")

@@ -3,6 +3,8 @@
 A leaf is its text in one letter case without anything but letters and digits. An ordered node hashes its
 children's digests in order, an unordered one the sorted set of them; records with the same root digest are
 grouped, and a full comparison of the canonical structures confirms each group. Everything runs in the JVM.
+Records are read, normalised and hashed once; after that ids and digests move, and structures only as the two
+extremes of each group, which combine before they move.
 """
 
 from __future__ import annotations
@@ -10,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.runtime import cut
+
 RECORD = "struct<named_entities: array<string>, triples: array<array<string>>, broken: string>"
 # letters change case more than one to one: upper case first joins forms such as a long s or a final sigma
 LEAF = "regexp_replace(replace(lower(upper({x})), 'ς', 'σ'), '[^\\\\p{{L}}\\\\p{{N}}]', '')"
@@ -37,7 +41,7 @@ def record_digests(records: DataFrame) -> DataFrame:
     digest = "array_join(array_sort(transform({xs}, x -> {of})), '')"
     entities = digest.format(xs="entities", of="md5(x)")
     triples = digest.format(xs="triples", of="md5(array_join(transform(x, y -> md5(y)), ''))")
-    return canon.selectExpr("resp_id", f"md5(concat(md5({entities}), md5({triples}))) AS root", "to_json(struct(entities, triples)) AS shape")
+    return canon.selectExpr("resp_id", f"unhex(md5(concat(md5({entities}), md5({triples})))) AS root", "to_json(struct(entities, triples)) AS shape")
 
 
 def collapse_records(records: DataFrame) -> DataFrame:
@@ -47,7 +51,11 @@ def collapse_records(records: DataFrame) -> DataFrame:
     empty leaf; a leaf of punctuation only is the empty leaf; order and repeats in the lists do not matter, order
     in a triple does; an empty table gives an empty result; other columns do not matter.
     """
-    made = record_digests(records)
-    # the digest spreads the groups, the structure beside it is the full comparison within one
-    groups = made.groupBy("root", "shape").agg(F.min("resp_id").alias("keep_id"))
-    return made.join(groups, ["root", "shape"]).select("resp_id", "keep_id").distinct()
+    made = cut(record_digests(records).withColumn("shape", F.encode("shape", "utf-8")))
+    # groups by digest; all structures of a group are one if its smallest and its largest are
+    groups = made.groupBy("root").agg(F.min("resp_id").alias("keep_id"), F.min("shape").alias("low"), F.max("shape").alias("high")).selectExpr("root", "keep_id", "low <> high AS mixed")
+    placed = made.select("root", "resp_id").distinct().join(groups, "root")
+    # different structures under one digest: these groups are made by structure
+    mixed = made.join(groups.where("mixed").select("root"), "root", "left_semi")
+    apart = mixed.join(mixed.groupBy("root", "shape").agg(F.min("resp_id").alias("keep_id")), ["root", "shape"]).select("resp_id", "keep_id").distinct()
+    return placed.where("NOT mixed").select("resp_id", "keep_id").unionByName(apart)
