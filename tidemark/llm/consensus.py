@@ -2,8 +2,9 @@
 
 An annotator i gives item j of true class c the label k with probability proportional to
 exp(sigma_i(c, k) + tau_j(c, k)). Label posteriors and the regularised dual parameters are raised in turn: the
-item parameters tau inside the tasks, where the labels of an item lie together, the annotator parameters
-sigma from sums over all items. Only those sums and the model (classes squared numbers an annotator) reach the
+item parameters tau inside the tasks, where the labels of an item lie together, to their optimum for the given
+annotators, and the annotator parameters sigma from sums over all items. Rounds without tilts of items start the fit;
+each kind of round ends when the dual's value settles. Only those sums and the model (classes squared numbers an annotator) reach the
 driver; their size depends on the number of annotators, which is checked.
 """
 
@@ -22,6 +23,7 @@ MAX_ANNOTATORS = 100_000
 CLASSES = 6
 # A label is a set of classes: the six scores, then the two coarse ones of which only the smoothed score is left.
 SETS = np.array([[c == k for c in range(CLASSES)] for k in range(CLASSES)] + [[c <= 2 for c in range(CLASSES)], [c >= 4 for c in range(CLASSES)]], float)
+SETS32 = SETS.astype(np.float32)
 LOW, HIGH = 6, 7
 
 
@@ -43,44 +45,75 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(-1, keepdims=True))
 
 
-def _solve_items(judge, label, item, n, sigma, log_prior, beta, rounds=3):
-    """Posteriors of n items and, for each label, the distribution over labels given each class."""
-    tau = np.zeros((n, CLASSES, CLASSES))
-    sets = SETS[label]
-    count = np.bincount(item, minlength=n)[:, None, None]
-    for step in range(rounds):
-        p = np.exp(_log_softmax(sigma[judge] + tau[item]))
-        q = np.tile(log_prior, (n, 1))
-        np.add.at(q, item, np.log(np.einsum("lck,lk->lc", p, sets) + 1e-12))
-        q = np.exp(_log_softmax(q))
-        # a coarse label counts for its classes in the shares that the model gives them
-        seen = p * sets[:, None, :]
-        seen /= seen.sum(-1, keepdims=True) + 1e-12
-        if step < rounds - 1:
-            grad = np.zeros_like(tau)
-            np.add.at(grad, item, seen - p)
-            tau = tau + (grad * q[:, :, None] - beta * tau) / (beta + count / 4)
-    return q, p, seen
+def _solve_items(judge, label, starts, sigma, log_prior, beta, tilts: bool, most: int = 25, still: float = 2e-3):
+    """Posteriors of items, the distribution over labels given each class, the labels seen, and the dual's value.
+
+    Labels of item j begin at ``starts[j]``. The tilts of the items rise from zero in damped steps, in turn with the
+    posteriors, until no posterior moves by ``still``; items at rest take no further part.
+    """
+    n, counts = len(starts), np.diff(np.append(starts, len(judge)))
+    sets, base = SETS32[label], sigma[judge]
+    p, seen = np.empty_like(base), np.empty_like(base)
+    q, value = np.empty((n, CLASSES), np.float32), 0.0
+    live, tau, before = np.arange(n), np.zeros((n, CLASSES, CLASSES), np.float32), None
+    for step in range(most if tilts else 1):
+        size = counts[live]
+        first = np.cumsum(size) - size
+        at = np.repeat(starts[live] - first, size) + np.arange(size.sum())
+        own = np.repeat(np.arange(len(live)), size)
+        z = base[at] + tau[own] if step else base[at]
+        z -= z.max(-1, keepdims=True)
+        np.exp(z, out=z)
+        z /= z.sum(-1, keepdims=True)
+        held = z * sets[at][:, None, :]
+        likely = held.sum(-1) + np.float32(1e-12)
+        held /= likely[:, :, None]  # a coarse label counts for its classes in the shares that the model gives them
+        logs = np.add.reduceat(np.log(likely), first, axis=0) + log_prior
+        top = logs.max(-1, keepdims=True)
+        now = np.exp(logs - top)
+        total = now.sum(-1, keepdims=True)
+        now /= total
+        rest = np.ones(len(live), bool) if step + 1 == (most if tilts else 1) else np.zeros(len(live), bool) if before is None else np.abs(now - before).max(-1) < still
+        if rest.any():
+            done = rest[own]
+            p[at[done]], seen[at[done]], q[live[rest]] = z[done], held[done], now[rest]
+            value += float((top + np.log(total))[rest].sum()) - beta / 2 * float((tau[rest] ** 2).sum())
+        if rest.all():
+            break
+        grad = np.add.reduceat(held - z, first, axis=0) * now[:, :, None] - beta * tau
+        tau = (tau + grad / (beta + size[:, None, None] / 4)).astype(np.float32)[~rest]
+        live, before = live[~rest], now[~rest]
+    return q, p, seen, value
 
 
 def _flat(batch: pa.RecordBatch, index: dict[str, int]):
+    """Annotator and label of each label, and where the labels of each item begin."""
     lists = batch.column("labels")
-    item = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+    offsets = lists.offsets.to_numpy()
     flat = lists.flatten()
-    judge = np.array([index[x] for x in flat.field("judge_id").to_pylist()], dtype=int)
-    return judge, flat.field("label").to_numpy(zero_copy_only=False).astype(int), item
+    names = flat.field("judge_id").dictionary_encode()
+    code = np.array([index[x] for x in names.dictionary.to_pylist()], dtype=int)
+    return code[names.indices.to_numpy()], flat.field("label").to_numpy(zero_copy_only=False).astype(int), (offsets[:-1] - offsets[0]).astype(int)
+
+
+def _by_judge(judge: np.ndarray, x: np.ndarray, into: np.ndarray) -> None:
+    order = np.argsort(judge, kind="stable")
+    held, first = np.unique(judge[order], return_index=True)
+    into[held] += np.add.reduceat(x[order], first, axis=0)
 
 
-def fit_consensus(labels: DataFrame, *, gamma: float = 0.02, rounds: int = 12) -> tuple[DataFrame, DataFrame, int]:
+def fit_consensus(labels: DataFrame, *, gamma: float = 0.02, rounds: int = 60, settled: float = 2e-5) -> tuple[DataFrame, DataFrame, int]:
     """Posteriors per item, reliability per annotator and the most frequent true score, from (id, judge_id, label).
 
     The strength of the regularisation follows the counts: alpha = gamma * classes^2 for annotators, and
-    beta = alpha times labels per annotator over labels per item for items.
+    beta = alpha times labels per annotator over labels per item for items. Rounds end when the dual rises by less than the
+    share ``settled`` of its value; ``rounds`` of either kind are the most, beyond which the fit raises an error.
 
     Items come as (id, raw_score, posterior); annotators as (judge_id, reliability, n_labels), where reliability is
     the probability that the annotator gives the true score, with classes as frequent as they are.
     Defined cases: no label at all gives two empty tables; a tie of posteriors goes to the lower score; an
-    item with one label follows that annotator's tilt; more than MAX_ANNOTATORS annotators raise an error, since
+    item with one label follows that annotator's tilt; an item without labels has the shares of the classes as its
+    posterior, so the most frequent class (the third result) is its score; more than MAX_ANNOTATORS annotators raise an error, since
     the model would no longer be small.
     """
     spark = labels.sparkSession
@@ -101,42 +134,52 @@ def fit_consensus(labels: DataFrame, *, gamma: float = 0.02, rounds: int = 12) -
 
     def sums(model):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sigma, prior = model.value
-            s, m, mass = np.zeros_like(sigma), np.zeros_like(sigma), np.zeros(CLASSES)
+            sigma, prior, tilts = model.value
+            s, m, mass, value = np.zeros_like(sigma), np.zeros_like(sigma), np.zeros(CLASSES), 0.0
             for batch in batches:
                 if batch.num_rows:
-                    judge, label, item = _flat(batch, index)
-                    q, p, seen = _solve_items(judge, label, item, batch.num_rows, sigma, np.log(prior), beta)
-                    np.add.at(s, judge, seen * q[item][:, :, None])
-                    np.add.at(m, judge, p * q[item][:, :, None])
-                    mass += q.sum(0)
-            flat = np.concatenate([s.ravel(), m.ravel(), mass])
+                    judge, label, starts = _flat(batch, index)
+                    q, p, seen, more = _solve_items(judge, label, starts, sigma.astype(np.float32), np.log(prior).astype(np.float32), beta, tilts)
+                    each = np.repeat(q, np.diff(np.append(starts, len(judge))), axis=0)[:, :, None]
+                    _by_judge(judge, seen * each, s)
+                    _by_judge(judge, p * each, m)
+                    mass += q.sum(0, dtype=float)
+                    value += more
+            flat = np.concatenate([s.ravel(), m.ravel(), mass, [value]])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], names=["k", "v"])
 
         return run
 
-    for _ in range(rounds if names else 0):
-        model = spark.sparkContext.broadcast((sigma, prior))
+    tilts, value, k = False, -np.inf, 0
+    while names:
+        model = spark.sparkContext.broadcast((sigma, prior, tilts))
         total = items.mapInArrow(sums(model), "k bigint, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas()
-        flat = np.zeros(2 * sigma.size + CLASSES)
+        flat = np.zeros(2 * sigma.size + CLASSES + 1)
         flat[total["k"].to_numpy()] = total["v"].to_numpy()
         model.destroy()
-        s, m, mass = flat[: sigma.size].reshape(sigma.shape), flat[sigma.size : -CLASSES].reshape(sigma.shape), flat[-CLASSES:]
+        s, m = flat[: 2 * sigma.size].reshape(2, *sigma.shape)
+        mass, before, value, k = flat[-CLASSES - 1 : -1], value, flat[-1], k + 1
+        if value - before <= settled * abs(value):
+            if tilts:
+                break
+            tilts, value, k = True, -np.inf, 0
+        elif k >= rounds:
+            raise RuntimeError("the consensus did not settle")
         # ascent on each coordinate of the dual: scaling towards the observed mass, damped by the regulariser
         weight = m.sum(-1, keepdims=True)
         sigma = sigma + (weight / (weight + alpha)) * np.log((s + alpha / CLASSES) / (m + alpha / CLASSES))
         sigma -= sigma.mean(-1, keepdims=True)
         prior = (mass + 1) / (mass + 1).sum()
-    model = spark.sparkContext.broadcast((sigma, prior))
+    model = spark.sparkContext.broadcast((sigma.astype(np.float32), np.log(prior).astype(np.float32)))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigma, prior = model.value
         for batch in batches:
             if batch.num_rows:
-                judge, label, item = _flat(batch, index)
-                q = _solve_items(judge, label, item, batch.num_rows, sigma, np.log(prior), beta)[0]
+                judge, label, starts = _flat(batch, index)
+                q = _solve_items(judge, label, starts, sigma, prior, beta, True)[0]
                 best = q.argmax(1)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(best.astype("int32")), pa.array(q[np.arange(len(q)), best])], names=["id", "raw_score", "posterior"])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(best.astype("int32")), pa.array(q[np.arange(len(q)), best].astype(float))], names=["id", "raw_score", "posterior"])
 
     right = np.exp(_log_softmax(sigma)) if names else np.zeros((0, CLASSES, CLASSES))
     reliability = (right[:, np.arange(CLASSES), np.arange(CLASSES)] * prior).sum(1) if names else []
