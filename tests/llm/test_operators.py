@@ -1,4 +1,5 @@
 import random
+import unicodedata
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -309,11 +310,35 @@ def test_canonical_examples():
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=30))
 def test_canonical_equals_whole_text_normalisation(text):
-    whole = lookalikes.canonical_segment.__wrapped__(text)
+    forms = lookalikes.forms_of(tuple(lookalikes.SAME_SHAPE.items()))
+    whole = forms.whole(text)
     assert lookalikes.canonical(text) == whole
     assert lookalikes.canonical(whole) == whole
 
 
+def test_look_alikes_of_all_alphabets(spark):
+    shapes = lookalikes.look_alikes(spark)
+    assert {c: shapes.get(c) for c in "ѵⲟᴏІӏӀ"} == {"ѵ": "v", "ⲟ": "o", "ᴏ": "o", "І": "I", "ӏ": "l", "Ӏ": "I"}
+    assert not any(c in shapes for c in "éıłßждяфлδλω’„–…¹²") and all(len(v) == 1 and v.isascii() for v in shapes.values())
+    assert all(unicodedata.category(k)[:2] == unicodedata.category(v)[:2] for k, v in shapes.items() if unicodedata.category(k) in ("Lu", "Ll") and k.isalpha() and v.isalpha())
+
+
+def test_form_to_read_keeps_alphabets(spark):
+    texts = ["Привет, как дела?", "Καλημέρα", "pаypаl аnd Ｗｉｄｅ", "Прuвет", "ﬁne\u200b text", None, "東京 タワー。，", "Ёж"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumn("lang", F.lit("x")).withColumn("changed", F.lit(1))
+    found = {r["doc_id"]: (r["text"], r["changed"]) for r in lookalikes.canonical_texts(df, "id", "text", ("lang",)).collect()}
+    assert [found[k][0] for k in range(8)] == ["Привет, как дела?", "Καλημέρα", "paypal and Wide", "Прuвет", "fine text", None, "東京 タワー。，", "Ёж"]
+    assert [found[k][1] for k in (0, 1, 2, 4, 6, 7)] == [False, False, True, True, False, False]
+
+
+def test_same_looking_classes(spark):
+    rows = [(1, "раса"), (2, "paca"), (3, "paca"), (4, "rаcа"), (5, None), (6, ""), (7, "\u200b"), (2, "paca"), (9, "other")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: (r["class_id"], r["links"]) for r in lookalikes.same_looking_classes(lookalikes.text_keys(df, "doc_id", "text")).collect()}
+    assert found == {1: (1, 2), 2: (1, 1), 3: (1, 1), 4: (4, 0), 6: (6, 1), 7: (6, 1), 9: (9, 0)}
+    assert lookalikes.same_looking_classes(lookalikes.text_keys(df.limit(0), "doc_id", "text")).count() == 0
+
+
 def test_same_looking_pairs(spark):
     rows = [(1, "Café"), (2, "Café"), (3, "Café"), (4, "Cafe"), (5, None), (6, ""), (7, "​"), (None, "Café"), (2, "Café"), (8, "x" * 200_000), (9, "x" * 199_999 + "ｘ")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("form_key", F.lit(1))

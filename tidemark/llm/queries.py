@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.clock import clock_seconds, day_number, running_seconds
 from tidemark.llm.consensus import agreement, every_id, fit_consensus, judge_labels
-from tidemark.llm.lookalikes import canonical_texts, same_looking_pairs, text_keys
+from tidemark.llm.lookalikes import canonical_texts, same_looking_classes, same_looking_pairs, text_keys
 from tidemark.llm.mixing import mix_copies, mix_report
 from tidemark.llm.nearest_time import nearest_in_time
 from tidemark.llm.neighbours import nearest_vectors
@@ -131,13 +131,18 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_looking_pairs(text_keys(table(spark, sf_dir, "documents"), "doc_id", "text"))
 
 
+@registry.add("p10_classes")
+def p10_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with its class of texts that look the same, and its number of links to other texts."""
+    return same_looking_classes(text_keys(table(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
 @registry.add("p10_changed")
 def p10_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By language: documents, and those whose text was not in the one form."""
-    d = table(spark, sf_dir, "documents")
-    forms = canonical_texts(d, "doc_id", "text").where("text IS NOT NULL")
-    langs = d.select("doc_id", F.lower("lang").alias("lang"))
-    return forms.select("doc_id", "changed").join(langs, "doc_id").groupBy("lang").agg(F.count("*").alias("docs"), F.sum(F.col("changed").cast("long")).alias("changed"))
+    """By language: documents, and those whose text was not in its form to read."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.lower("lang").alias("lang"))
+    forms = canonical_texts(d, "doc_id", "text", ("lang",)).where("text IS NOT NULL")
+    return forms.groupBy("lang").agg(F.count("*").alias("docs"), F.sum(F.col("changed").cast("long")).alias("changed"))
 
 
 def answer_posteriors(spark: SparkSession, sf_dir: str) -> DataFrame:
