@@ -42,3 +42,25 @@ def test_defined_cases(spark):
     found = run(spark, rows, extra=True)
     assert found == {("s", 1, "period", 0, 20), ("s", 1, "gap", 20, 30), ("s", 1, "period", 30, 40), (None, None, "period", 1, 2)}
     assert run(spark, []) == set()
+
+
+def test_small_chunks_and_many_keys(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["hot", f"s{rng.randint(0, 200)}", None]), rng.choice([None, 1, 2**60, 2**60 + 1]), a := rng.randint(0, 5000), a + rng.randint(1, 6)) for _ in range(6000)]
+    df = spark.createDataFrame(rows, "subject string, day long, a int, b int").repartition(9)
+    assert {tuple(r) for r in merge_intervals(df, ["subject", "day"], "a", "b", chunk=4, flush=100).collect()} == brute(rows)
+
+
+def test_parts_of_lists_stay_small(spark):
+    import numpy as np
+    import pandas as pd
+    import pyarrow as pa
+
+    from tidemark.operators import intervals
+
+    n = 100_000
+    made = (pd.DataFrame({"k": ["a", "b"]}), np.repeat([0, 1], n), np.tile(np.arange(n) * 3, 2), np.tile(np.arange(n) * 3 + 1, 2))
+    batches = list(intervals._lists(made, [pa.field("k", pa.string())], None, 512))
+    assert max(len(x) for b in batches for x in b.column(intervals.STARTS).to_pylist()) == 512
+    runs = [r for r in intervals._runs(iter(batches), ["k"])]
+    assert [list(r[0]["k"]) for r in runs] == [["a"], ["b"]] and all(len(r[2]) == n for r in runs)

@@ -76,8 +76,12 @@ class _Lists:
         return made
 
 
+    def size(self) -> int:
+        return sum(len(x[3]) for x in self.levels)
+
+
 def _names(batch: pa.RecordBatch, keys: list[str]) -> pd.DataFrame:
-    return batch.select(keys).to_pandas()
+    return batch.select(keys).to_pandas(integer_object_nulls=True)
 
 
 def _state(batch: pa.RecordBatch):
@@ -86,22 +90,67 @@ def _state(batch: pa.RecordBatch):
     return row, starts.flatten().to_numpy().astype("int64"), ends.flatten().to_numpy().astype("int64")
 
 
-def _lists(made, fields: list[pa.Field], salt: int | None) -> pa.RecordBatch:
+def _lists(made, fields: list[pa.Field], salt: int | None, chunk: int) -> Iterator[pa.RecordBatch]:
+    """Rows of at most ``chunk`` intervals of one key each."""
     names, code, start, end = made
-    offsets = np.searchsorted(code, np.arange(len(names) + 1)).astype("int32")
-    columns = [pa.array(names[f.name], type=f.type, from_pandas=True) for f in fields]
-    columns += [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (start, end)]
-    out = [f.name for f in fields] + [STARTS, ENDS]
-    if salt is not None:
-        columns.append(pa.array(np.full(len(names), salt, "int32")))
-        out.append(SALT)
-    return pa.RecordBatch.from_arrays(columns, names=out)
-
-
-def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str, gaps: bool = True) -> DataFrame:
+    first = np.searchsorted(code, np.arange(len(names)))
+    begin = np.flatnonzero((np.arange(len(code)) - first[code]) % chunk == 0)
+    for lo in range(0, len(begin), 2048):
+        rows = begin[lo : lo + 2048]
+        upto = int(begin[lo + 2048]) if lo + 2048 < len(begin) else len(code)
+        offsets = np.append(rows, upto).astype("int64") - rows[0]
+        picked = names.iloc[code[rows]]
+        columns = [pa.array(picked[f.name], type=f.type, from_pandas=True) for f in fields]
+        columns += [pa.ListArray.from_arrays(offsets.astype("int32"), pa.array(x[rows[0] : upto])) for x in (start, end)]
+        out = [f.name for f in fields] + [STARTS, ENDS]
+        if salt is not None:
+            columns.append(pa.array(np.full(len(rows), salt, "int32")))
+            out.append(SALT)
+        yield pa.RecordBatch.from_arrays(columns, names=out)
+
+
+def _changes(names: pd.DataFrame) -> np.ndarray:
+    """Which rows have other keys than the row before; nulls are equal."""
+    out = np.zeros(len(names), bool)
+    out[:1] = True
+    for k in names.columns:
+        v, w = names[k].iloc[1:].reset_index(drop=True), names[k].iloc[:-1].reset_index(drop=True)
+        out[1:] |= ((v != w) & ~(v.isna() & w.isna())).to_numpy(dtype=bool)
+    return out
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]):
+    """(names, code, start, end, fields) of merged lists, from partial lists sorted by key: some keys at a time, each once and whole."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        fields = [batch.schema.field(k) for k in keys]
+        names = _names(batch, keys)
+        row, start, end = _state(batch)
+        change = _changes(names)
+        code = (np.cumsum(change) - 1)[row]
+        names = names[change].reset_index(drop=True)
+        if held is not None:
+            both = pd.concat([held[0], names.iloc[:1]], ignore_index=True)
+            if _changes(both)[1]:
+                names, code = pd.concat([held[0], names], ignore_index=True), code + 1
+            code, start, end = np.concatenate([np.zeros(len(held[1]), code.dtype), code]), np.concatenate([held[1], start]), np.concatenate([held[2], end])
+        code, start, end = linear_merge(code, start, end)
+        # the last key may go on in the next batch
+        upto = np.searchsorted(code, len(names) - 1)
+        if upto:
+            yield names.iloc[:-1], code[:upto], start[:upto], end[:upto], fields
+        held = names.iloc[-1:], start[upto:], end[upto:]
+    if held is not None:
+        yield held[0], np.zeros(len(held[1]), int), held[1], held[2], fields
+
+
+def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str, gaps: bool = True, chunk: int = 512, flush: int = 1 << 20) -> DataFrame:
     """Periods covered without interruption, and gaps between consecutive ones, for each combination of ``keys``.
 
-    Result: ``keys``, ``kind`` (``period`` or ``gap``), ``start``, ``end`` (bigint).
+    Result: ``keys``, ``kind`` (``period`` or ``gap``), ``start``, ``end`` (bigint). A task holds at most about ``flush`` intervals
+    where rows lie, and the list of one key and one batch of rows of ``chunk`` intervals where lists are merged.
 
     Defined cases: rows with a null start or end, or whose end is not later than their start, are no
     intervals and are ignored; a null in a key is a value of its own; intervals that touch are one period;
@@ -114,9 +163,6 @@ def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str, gaps:
     state_schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in key_schema), f"{STARTS} array<bigint>", f"{ENDS} array<bigint>"])
     salted_schema = f"{state_schema}, {SALT} int"
 
-    def fields(batch: pa.RecordBatch) -> list[pa.Field]:
-        return [batch.schema.field(k) for k in keys]
-
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -124,42 +170,33 @@ def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str, gaps:
         lists, kind = _Lists(keys), None
         for batch in batches:
             if batch.num_rows:
-                kind = fields(batch)
+                kind = [batch.schema.field(k) for k in keys]
                 lists.add(_names(batch, keys), np.arange(batch.num_rows), batch.column(STARTS).to_numpy(), batch.column(ENDS).to_numpy())
-        if kind:
-            yield _lists(lists.result(), kind, salt)
-
-    def gather(batches: Iterator[pa.RecordBatch]):
-        lists, kind = _Lists(keys), None
-        for batch in batches:
-            if batch.num_rows:
-                kind = fields(batch)
-                lists.add(_names(batch, keys), *_state(batch))
-        return (lists.result(), kind) if kind else (None, None)
+                if lists.size() > flush:
+                    yield from _lists(lists.result(), kind, salt, chunk)
+        if lists.levels:
+            yield from _lists(lists.result(), kind, salt, chunk)
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, kind = gather(batches)
-        if made:
-            yield _lists(made, kind, None)
+        for *made, kind in _runs(batches, keys):
+            yield from _lists(made, kind, None, chunk)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, kind = gather(batches)
-        if not made:
-            return
-        names, code, first, last = made
-        same = code[1:] == code[:-1]
-        parts = [("period", code, first, last)]
-        if gaps:
-            parts.append(("gap", code[1:][same], last[:-1][same], first[1:][same]))
-        for what, c, a, b in parts:
-            for lo in range(0, len(c), 65536):
-                cut = slice(lo, lo + 65536)
-                picked = names.iloc[c[cut]]
-                columns = [pa.array(picked[f.name], type=f.type, from_pandas=True) for f in kind]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([what] * len(picked)), pa.array(a[cut]), pa.array(b[cut])], names=[*keys, "kind", "start", "end"])
-
+        for names, code, first, last, kind in _runs(batches, keys):
+            same = code[1:] == code[:-1]
+            parts = [("period", code, first, last)]
+            if gaps:
+                parts.append(("gap", code[1:][same], last[:-1][same], first[1:][same]))
+            for what, c, a, b in parts:
+                for lo in range(0, len(c), 65536):
+                    cut = slice(lo, lo + 65536)
+                    picked = names.iloc[c[cut]]
+                    columns = [pa.array(picked[f.name], type=f.type, from_pandas=True) for f in kind]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array([what] * len(picked)), pa.array(a[cut]), pa.array(b[cut])], names=[*keys, "kind", "start", "end"])
+
+    # sorted partitions spill, and give each key's lists one after the other
     by = [F.col(f"`{k}`") for k in keys]
     lists = rows.mapInArrow(partial, salted_schema)
-    lists = lists.repartition(*by, F.col(SALT)).drop(SALT).mapInArrow(combine, state_schema)
+    lists = lists.repartition(*by, F.col(SALT)).sortWithinPartitions(*by).drop(SALT).mapInArrow(combine, state_schema)
     out_schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in key_schema), "kind string, start bigint, end bigint"])
-    return lists.repartition(*by).mapInArrow(finish, out_schema)
+    return lists.repartition(*by).sortWithinPartitions(*by).mapInArrow(finish, out_schema)
