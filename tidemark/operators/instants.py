@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.clock import civil_days_sql, is_date_sql
+from tidemark.runtime import cut
 
 # Zone abbreviations with their offset in minutes.
 ZONE_ABBREVIATIONS = {
@@ -44,9 +45,9 @@ BLANKS = r"[\s\u0085   -​    　﻿]+"
 
 
 def _groups(pattern: str, n: int) -> str:
-    """All groups of the pattern as one array, which the optimizer computes once; NULL without a match."""
+    """All groups of the pattern as one array; an array of one member without a match. The text must not hold ``SEP``."""
     quoted, sep = pattern.replace("\\", "\\\\"), "\\\\u0001"
-    return f"split(CASE WHEN __text RLIKE '{quoted}' THEN regexp_replace(__text, '{quoted}', '{SEP.join(f'${i + 1}' for i in range(n))}') END, '{sep}', -1)"
+    return f"split(regexp_replace(__text, '{quoted}', '{SEP.join(f'${i + 1}' for i in range(n))}'), '{sep}', -1)"
 
 
 def known_zones(spark: SparkSession) -> list[str]:
@@ -82,7 +83,12 @@ def readings(stamps: DataFrame, zones: list[str]) -> DataFrame:
     kept = stamps.columns
     g = lambda name: f"get(g, {GROUPS.index(name)})"
     at = lambda *names: "coalesce(" + ", ".join(f"try_cast({g(n)} AS int)" for n in names) + ")"
-    df = stamps.selectExpr("*", f"{_groups(CALENDAR, len(GROUPS))} AS g", f"{_groups(DAY_CLOCK, 4)} AS h", f"{_groups(UNIX, 3)} AS u")
+    # one pattern after the other, each only where those before it do not fit
+    none = "CAST(array() AS array<string>)"
+    df = stamps.withColumn("__text", F.translate("__text", SEP, "?"))
+    df = df.selectExpr("*", f"CASE WHEN __text RLIKE '^[0-9]+([.,][0-9]+)?$' THEN {_groups(UNIX, 3)} ELSE {none} END AS u").selectExpr("*", f"CASE WHEN size(u) > 1 THEN {none} ELSE {_groups(CALENDAR, len(GROUPS))} END AS g")
+    df = df.selectExpr("*", f"CASE WHEN size(u) > 1 OR size(g) > 1 THEN {none} ELSE {_groups(DAY_CLOCK, 4)} END AS h")
+    df = df.selectExpr(*kept, *(f"CASE WHEN size({x}) > 1 THEN {x} END AS {x}" for x in "ugh"))
     months = ", ".join(f"'{m}'" for m in MONTHS)
     abbreviations = ", ".join(f"'{k}', {v}" for k, v in ZONE_ABBREVIATIONS.items())
     listed = ", ".join(f"'{z}'" for z in zones)
@@ -176,14 +182,14 @@ def resolve_instants(log: DataFrame, devices: DataFrame, *, row_id: str, source:
     joined = stamps.join(known, F.col("__source") == F.col("__device"), "left").drop("__device")
     read = readings(joined, known_zones(spark)).select("__id", "__source", "__text", "candidates")
     read = read.selectExpr("*", "filter(candidates, x -> x.utc_s IS NOT NULL) AS valid")
-    # no filter here: it would be pushed below the parsing and repeat it
-    counts = read.groupBy("__source", F.expr("array_sort(array_distinct(transform(valid, x -> x.spelling)))").alias("spellings")).agg(F.count("*").alias("n"))
+    # read once: the few fields of the result are written, and the counts and the result both start from them
+    read = cut(read.selectExpr("__id", "__source", "get(candidates, 0).why AS why", "size(valid) AS n", "get(valid, 0).utc_s AS u1", "get(valid, 1).utc_s AS u2", "get(valid, 0).spelling AS s1", "get(valid, 1).spelling AS s2"))
+    counts = read.groupBy("__source", "s1", "s2").agg(F.count("*").alias("n")).selectExpr("__source", "array_sort(array_distinct(filter(array(s1, s2), s -> s IS NOT NULL))) AS spellings", "n")
     weights = fit_mixtures(counts).groupBy("__source").agg(F.map_from_entries(F.collect_list(F.struct("spelling", "weight"))).alias("weights"))
     posed = read.join(weights, "__source", "left")
     # at most two readings are valid; equal instants are one
     posed = posed.selectExpr(
-        "__id", "get(candidates, 0).why AS why", "size(valid) AS n", "get(valid, 0).utc_s AS u1", "get(valid, 1).utc_s AS u2", "get(valid, 0).spelling AS s1", "get(valid, 1).spelling AS s2",
-        "coalesce(try_element_at(weights, get(valid, 0).spelling), 0D) AS w1", "coalesce(try_element_at(weights, get(valid, 1).spelling), 0D) AS w2",
+        "__id", "why", "n", "u1", "u2", "s1", "s2", "coalesce(try_element_at(weights, s1), 0D) AS w1", "coalesce(try_element_at(weights, s2), 0D) AS w2",
     )
     posed = posed.selectExpr("*", "n = 1 OR coalesce(u1 = u2, false) AS one", "w1 >= w2 AS first")
     posed = posed.selectExpr(
