@@ -50,3 +50,46 @@ def breakdown(outcomes: DataFrame) -> DataFrame:
     bucket = "CASE WHEN topic AND event THEN 'Both' WHEN topic THEN 'Topic only' WHEN event THEN 'Event only' ELSE 'None' END"
     rows = outcomes.selectExpr(f"{bucket} AS b", "base", "chain").selectExpr("explode(CASE WHEN b = 'None' THEN array(b, 'All') ELSE array(b, 'All', 'Any') END) AS bucket", "base", "chain")
     return rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("base").alias("base"), F.sum("chain").alias("chain")).withColumn("delta", F.round((F.col("chain") - F.col("base")) * 100 / F.col("n"), 4))
+
+
+# Marks that facts of chains carry where they stand among retrieved contents.
+TOPIC_MARK, EVENT_MARK = "[Topic: ", "[Event: "
+
+
+def marks(rows: DataFrame, contents: str) -> DataFrame:
+    """Adds ``topic`` and ``event``: whether an array of retrieved contents holds a fact of either kind of chain."""
+    has = lambda mark: f"coalesce(exists({contents}, c -> contains(c, '{mark}')), false)"
+    return rows.withColumns({"topic": F.expr(has(TOPIC_MARK)), "event": F.expr(has(EVENT_MARK))})
+
+
+def paired(rows: DataFrame, key: str, base: str, chain: str, score: str) -> DataFrame:
+    """(bucket, n, seeds, base, chain, delta) of keys that both runs have: the first averaged over its seeds, in buckets by the second's marks.
+
+    ``base`` and ``chain`` are conditions that tell the runs' rows apart. A missing score of the second run counts as 0.
+    """
+    first = rows.where(base).where(F.col(score).isNotNull()).groupBy(key).agg(F.avg(score).alias("base"), F.count("*").alias("seeds"))
+    second = rows.where(chain).groupBy(key).agg(F.avg(F.coalesce(F.col(score), F.lit(0.0))).alias("chain"), F.bool_or("topic").alias("topic"), F.bool_or("event").alias("event"))
+    bucket = "CASE WHEN topic AND event THEN 'Both' WHEN topic THEN 'Topic only' WHEN event THEN 'Event only' ELSE 'None' END"
+    each = first.join(second, key).selectExpr(f"{bucket} AS b", "base", "chain", "seeds").selectExpr("explode(CASE WHEN b = 'None' THEN array(b, 'All') ELSE array(b, 'All', 'Any') END) AS bucket", "base", "chain", "seeds")
+    made = each.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("seeds").alias("seeds"), F.sum("base").alias("base"), F.sum("chain").alias("chain"))
+    return made.selectExpr("bucket", "n", "seeds", "round(base, 6) AS base", "round(chain, 6) AS chain", "round((chain - base) * 100 / n, 4) AS delta")
+
+
+def merge_tasks(scores: DataFrame, summed: tuple[str, ...] = ()) -> DataFrame:
+    """(split, metric, score, found): scores (split, task, metric, score) averaged over all tasks there are, whether a split has them or not."""
+    tasks = scores.agg(F.countDistinct("task").alias("tasks"))  # one row
+    made = scores.groupBy("split", "metric").agg(F.sum("score").alias("total"), F.count("*").alias("found")).join(F.broadcast(tasks))
+    return made.select("split", "metric", F.when(F.col("metric").isin(*summed), F.col("total")).otherwise(F.col("total") / F.col("tasks")).alias("score"), "found")
+
+
+def report(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """(modality, score, found, missing): the mean over found datasets of each modality, and the names of those without a score."""
+    rows = expected.join(found, ["modality", "dataset"], "left")
+    names = F.array_join(F.array_sort(F.collect_set(F.when(F.col("score").isNull(), F.col("dataset")))), ",")
+    return rows.groupBy("modality").agg(F.avg("score").alias("score"), F.count("score").alias("found"), names.alias("missing"))
+
+
+def evaluable(needs: DataFrame, available: DataFrame, key: str) -> DataFrame:
+    """(key, sources): keys that need a source at all, all of whose sources are available; ``needs`` is (key, source), each pair once."""
+    known = needs.join(available.select("source", F.lit(True).alias("there")).distinct(), "source", "left")
+    return known.groupBy(key).agg(F.bool_and(F.coalesce("there", F.lit(False))).alias("all"), F.count("*").alias("sources")).where("all").select(key, "sources")

@@ -21,10 +21,10 @@ def plain_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("text IS NOT NULL").selectExpr("doc_id", f"md5({X.plain_words('text')}) AS digest")
 
 
-_PUNCT = "translate(text, '" + "".join(k for k, v in X.PUNCTUATION.items() if len(v) == 1) + "', '" + "".join(v.replace("'", "''") for v in X.PUNCTUATION.values() if len(v) == 1) + "')"
-for _k, _v in X.PUNCTUATION.items():
-    if len(_v) > 1:
-        _PUNCT = f"replace({_PUNCT}, '{_k}', '{_v}')"
+_SQ = lambda x: "'" + x.replace("'", "''") + "'"
+_PUNCT = f"translate(text, {_SQ(''.join(X.ONE_TO_ONE) + X.GONE)}, {_SQ(''.join(X.ONE_TO_ONE.values()))})"
+for _k, _v in X.SEVERAL:
+    _PUNCT = f"replace({_PUNCT}, {_SQ(_k)}, {_SQ(_v)})"
 
 
 @registry.add("plain_punctuation", f"SELECT doc_id, md5({_PUNCT}) AS digest FROM documents WHERE text IS NOT NULL")
@@ -45,15 +45,41 @@ def token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("text IS NOT NULL").groupBy("source").agg(F.count("*").alias("docs"), F.round(F.avg(F.size(F.split("text", "[^a-zA-Z]"))), 4).alias("mean_tokens"))
 
 
-_LETTER = "coalesce(" + ", ".join(f"nullif(upper(regexp_extract(t, '{p}', 1)), '')" for p in (r"^\(?([A-Da-d])\)?\.?$", r"^\(?([A-Da-d])[).:,\s]", r"(?i)answer\s*(?:is)?\s*:?\s*\(?([A-D])\b", r"(?i)option\s*(?:is)?\s*:?\s*\(?([A-D])\b", r"(?i)choice\s*(?:would be|is)?\s*:?\s*\(?([A-D])\b")) + r", upper(list_last(regexp_extract_all(substr(t, CAST(floor(length(t) * 0.8) AS INTEGER) + 1), '\b([A-D])\b', 1))))"
+_WORD = "[\\p{L}\\p{N}_]"
 
 
-@registry.add("choice_letters", f"SELECT DISTINCT pair_id, {_LETTER} AS letter FROM (SELECT pair_id, trim(model_option) AS t FROM qa_results WHERE type = 'mcq' AND model_option IS NOT NULL)")
+def letter_sql(t: str) -> str:
+    """The option letter of a trimmed text in SQL, whose patterns have no view around: borders of words are matched with the letter."""
+    border = "(?:^|[^\\p{L}\\p{N}_])"
+    at = f"CAST(floor(length({t}) * 0.8::DOUBLE) AS INTEGER)"
+    tail = f"(CASE WHEN {at} > 0 AND regexp_matches(substr({t}, {at}, 1), '{_WORD}') THEN '_' ELSE ' ' END || substr({t}, {at} + 1))"
+    doubled = f"regexp_replace({tail}, '([^\\p{{L}}\\p{{N}}_])', '\\1\\1', 'g')"
+    tries = [f"regexp_extract({t}, '^\\(?([A-Da-d])(?:[.):,]|\\s|$)', 1)", *(f"regexp_extract({t}, '(?i){p}', 1)" for p in X.LETTER_PHRASES), f"regexp_extract({t}, '(?i){border}{X.LETTER_IS}(?:[^\\p{{L}}\\p{{N}}_]|$)', 1)", f"coalesce(list_last(regexp_extract_all({doubled}, '{border}([A-Da-d])(?:[^\\p{{L}}\\p{{N}}_]|$)', 1)), '')"]
+    return "upper(coalesce(" + ", ".join(f"nullif({x}, '')" for x in tries) + "))"
+
+
+@registry.add("choice_letters", f"SELECT DISTINCT pair_id, {letter_sql('t')} AS letter FROM (SELECT pair_id, regexp_replace(model_option, '^\\s+|\\s+$', '', 'g') AS t FROM qa_results WHERE type = 'mcq' AND model_option IS NOT NULL)")
 def choice_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X12, X14."""
     return table(spark, sf_dir, "qa_results").where("type = 'mcq' AND model_option IS NOT NULL").selectExpr("pair_id", f"{X.choice_letter('model_option')} AS letter").distinct()
 
 
+def _norm_sql(x: str) -> str:
+    return f"regexp_replace(regexp_replace(lower({x}), '^\\s+|\\s+$', '', 'g'), '[.,)]+$', '')"
+
+
+#: Ways to answer, each for every question: text, letter and text, letter in brackets and text, a phrase, a letter at the end.
+_WAYS = {"text": "{c}", "letter_text": "'B. ' || {c}", "bracket_text": "'(B) ' || {c} || '.'", "phrase": "'I would pick (B) here, as ' || {c} || ' was on the table'", "last": "{c} || ' fits, so it must be B'"}
+
+
+@registry.add("right_answers", "WITH q AS (SELECT DISTINCT id, upper(answer) AS gold, choice_a, choice_b, choice_c, choice_d FROM qa_mcq WHERE upper(answer) IN ('A', 'B', 'C', 'D')), g AS (SELECT id, gold, choice_b, CASE gold WHEN 'A' THEN choice_a WHEN 'B' THEN choice_b WHEN 'C' THEN choice_c ELSE choice_d END AS choice FROM q), p AS (" + " UNION ALL ".join(f"SELECT id, gold, choice, '{k}' AS way, {v.format(c='choice_b')} AS prediction FROM g" for k, v in _WAYS.items()) + f"), t AS (SELECT *, regexp_replace(prediction, '^\\s+|\\s+$', '', 'g') AS tr FROM p) SELECT id, way, coalesce({_norm_sql('prediction')} = {_norm_sql('choice')} OR {letter_sql('tr')} = gold OR {_norm_sql('prediction')} = {_norm_sql("gold || '. ' || choice")} OR {_norm_sql('prediction')} = {_norm_sql("'(' || gold || ') ' || choice")}, false) AS correct FROM t")
+def right_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of several ways to answer with the second option are right."""
+    q = table(spark, sf_dir, "qa_mcq").where("upper(answer) IN ('A', 'B', 'C', 'D')").selectExpr("id", "upper(answer) AS gold", "choice_b", "CASE upper(answer) WHEN 'A' THEN choice_a WHEN 'B' THEN choice_b WHEN 'C' THEN choice_c ELSE choice_d END AS choice").distinct()
+    ways = ", ".join(f"'{k}', {v.format(c='choice_b')}" for k, v in _WAYS.items())
+    return q.selectExpr("id", "gold", "choice", f"explode(map({ways})) AS (way, prediction)").selectExpr("id", "way", f"{X.is_right('prediction', 'gold', 'choice')} AS correct")
+
+
 _SCORE = "coalesce(nullif(regexp_extract(judge_response, '(?i)Final Score\\s*[:=]\\s*([0-9])', 1), ''), list_last(regexp_extract_all(judge_response, '[0-5]')))"
 
 
@@ -82,12 +108,63 @@ def accuracy_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(q, "id").groupingSets([["type"], ["split"], []], "type", "split").agg(F.count("*").alias("n"), F.round(F.avg(F.col("evaluate").cast("int")), 6).alias("accuracy"))
 
 
-@registry.add("breakdown_buckets", "WITH e AS (SELECT DISTINCT result_id, coalesce(len(list_filter(round_history, lambda r: contains(r.retrieved_content, 'kettle'))) > 0, false) AS topic, coalesce(len(list_filter(round_history, lambda r: contains(r.retrieved_content, 'balcony'))) > 0, false) AS event, CAST(coalesce(evaluate, false) AS BIGINT) AS base, CAST(coalesce(smoothed_score, 0) >= 0.5 AS BIGINT) AS chain FROM eval_results), b AS (SELECT *, CASE WHEN topic AND event THEN 'Both' WHEN topic THEN 'Topic only' WHEN event THEN 'Event only' ELSE 'None' END AS k FROM e), x AS (SELECT unnest(CASE WHEN k = 'None' THEN [k, 'All'] ELSE [k, 'All', 'Any'] END) AS bucket, base, chain FROM b) SELECT bucket, count(*) AS n, CAST(sum(base) AS BIGINT) AS base, CAST(sum(chain) AS BIGINT) AS chain, round((sum(chain) - sum(base)) * 100.0 / count(*), 4) AS delta FROM x GROUP BY bucket")
+#: Injected facts carry a mark; here a retrieved content with a time of day counts as a step of an event, one that speaks of what was said as a topic.
+_TAGGED = "CASE WHEN {c} LIKE '% says %' THEN '[Topic: speech] ' || {c} WHEN {c} LIKE 'At __:__ %' THEN '[Event: visit] ' || {c} ELSE {c} END"
+_MARKED = f"h AS (SELECT result_id, id, judge_id, evaluate, smoothed_score, list_transform(round_history, lambda r: {_TAGGED.format(c='r.retrieved_content')}) AS seen FROM (SELECT DISTINCT result_id, id, judge_id, evaluate, smoothed_score, round_history FROM eval_results)), e AS (SELECT *, coalesce(len(list_filter(seen, lambda c: contains(c, '[Topic: '))) > 0, false) AS topic, coalesce(len(list_filter(seen, lambda c: contains(c, '[Event: '))) > 0, false) AS event FROM h)"
+_BUCKET = "CASE WHEN topic AND event THEN 'Both' WHEN topic THEN 'Topic only' WHEN event THEN 'Event only' ELSE 'None' END"
+
+
+def marked_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "eval_results").select("result_id", "id", "judge_id", "evaluate", "smoothed_score", "round_history").distinct()
+    seen = rows.withColumn("seen", F.expr(f"transform(round_history, r -> {_TAGGED.format(c='r.retrieved_content')})"))
+    return M.marks(seen, "seen")
+
+
+@registry.add("breakdown_buckets", f"WITH {_MARKED}, b AS (SELECT *, {_BUCKET} AS k FROM e), x AS (SELECT unnest(CASE WHEN k = 'None' THEN [k, 'All'] ELSE [k, 'All', 'Any'] END) AS bucket, CAST(coalesce(evaluate, false) AS BIGINT) AS base, CAST(coalesce(smoothed_score, 0) >= 0.5 AS BIGINT) AS chain FROM b) SELECT bucket, count(*) AS n, CAST(sum(base) AS BIGINT) AS base, CAST(sum(chain) AS BIGINT) AS chain, round((sum(chain) - sum(base)) * 100.0 / count(*), 4) AS delta FROM x GROUP BY bucket")
 def breakdown_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Results by what the retrieved contents mention."""
-    marks = lambda w: f"coalesce(exists(round_history, r -> contains(r.retrieved_content, '{w}')), false)"
-    e = table(spark, sf_dir, "eval_results").selectExpr("result_id", f"{marks('kettle')} AS topic", f"{marks('balcony')} AS event", "CAST(coalesce(evaluate, false) AS bigint) AS base", "CAST(coalesce(smoothed_score, 0) >= 0.5 AS bigint) AS chain")
-    return M.breakdown(e.distinct())
+    """Results by the marks in what was retrieved."""
+    return M.breakdown(marked_results(spark, sf_dir).selectExpr("topic", "event", "CAST(coalesce(evaluate, false) AS bigint) AS base", "CAST(coalesce(smoothed_score, 0) >= 0.5 AS bigint) AS chain"))
+
+
+@registry.add("paired_runs", f"WITH {_MARKED}, ug AS (SELECT id, avg(smoothed_score) AS base, count(*) AS seeds FROM e WHERE judge_id < 'judge-m' AND smoothed_score IS NOT NULL GROUP BY id), ch AS (SELECT id, avg(coalesce(smoothed_score, 0)) AS chain, bool_or(topic) AS topic, bool_or(event) AS event FROM e WHERE judge_id >= 'judge-m' GROUP BY id), b AS (SELECT {_BUCKET} AS k, base, chain, seeds FROM ug JOIN ch ON ug.id = ch.id), x AS (SELECT unnest(CASE WHEN k = 'None' THEN [k, 'All'] ELSE [k, 'All', 'Any'] END) AS bucket, base, chain, seeds FROM b) SELECT bucket, count(*) AS n, CAST(sum(seeds) AS BIGINT) AS seeds, round(sum(base), 6) AS base, round(sum(chain), 6) AS chain, round((sum(chain) - sum(base)) * 100.0 / count(*), 4) AS delta FROM x GROUP BY bucket")
+def paired_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs paired by question, the scores of the first averaged over its seeds, by what the second retrieved."""
+    return M.paired(marked_results(spark, sf_dir), "id", "judge_id < 'judge-m'", "judge_id >= 'judge-m'", "smoothed_score")
+
+
+@registry.add("merged_subtasks", "WITH e AS (SELECT DISTINCT result_id, split, judge_id, raw_score, smoothed_score FROM eval_results WHERE judge_id IS NOT NULL), t AS (SELECT split, judge_id AS task, 'raw' AS metric, avg(raw_score) AS score FROM e GROUP BY ALL UNION ALL SELECT split, judge_id, 'smoothed', avg(smoothed_score) FROM e GROUP BY ALL UNION ALL SELECT split, judge_id, 'evaluation_time', CAST(count(*) AS DOUBLE) FROM e GROUP BY ALL), n AS (SELECT count(DISTINCT task) AS n FROM t) SELECT split, metric, round(CASE WHEN metric = 'evaluation_time' THEN sum(score) ELSE sum(score) / any_value(n) END, 6) AS score, count(*) AS found FROM t, n GROUP BY split, metric")
+def merged_subtasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the judges as sub-tasks, merged to one mean over all of them; times are summed."""
+    e = table(spark, sf_dir, "eval_results").where("judge_id IS NOT NULL").select("result_id", "split", "judge_id", "raw_score", "smoothed_score").distinct()
+    means = e.groupBy("split", F.col("judge_id").alias("task")).agg(F.avg("raw_score").alias("raw"), F.avg("smoothed_score").alias("smoothed"), F.count("*").cast("double").alias("evaluation_time"))
+    scores = means.selectExpr("split", "task", "stack(3, 'raw', raw, 'smoothed', smoothed, 'evaluation_time', evaluation_time) AS (metric, score)")
+    return M.merge_tasks(scores, summed=("evaluation_time",)).withColumn("score", F.round("score", 6))
+
+
+@registry.add("modality_report", "WITH x(modality, dataset) AS (SELECT DISTINCT lower(lang), source FROM documents WHERE lang IS NOT NULL UNION ALL SELECT 'en', 'not_there'), f AS (SELECT lower(lang) AS modality, source AS dataset, avg(n_chars) AS score FROM documents WHERE lang IS NOT NULL AND n_chars > 300 GROUP BY ALL) SELECT x.modality, round(avg(score), 6) AS score, count(score) AS found, coalesce(string_agg(CASE WHEN score IS NULL THEN x.dataset END, ',' ORDER BY x.dataset), '') AS missing FROM (SELECT DISTINCT * FROM x) x LEFT JOIN f ON f.modality = x.modality AND f.dataset = x.dataset GROUP BY x.modality")
+def modality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean main score of each modality over the datasets found, and those that are missing."""
+    d = table(spark, sf_dir, "documents").where("lang IS NOT NULL").selectExpr("lower(lang) AS modality", "source AS dataset", "n_chars")
+    expected = d.select("modality", "dataset").unionByName(spark.createDataFrame([("en", "not_there")], "modality string, dataset string")).distinct()
+    return M.report(expected, d.where("n_chars > 300").groupBy("modality", "dataset").agg(F.avg("n_chars").alias("score"))).withColumn("score", F.round("score", 6))
+
+
+_SETS = "q AS (SELECT id, list_sort(list_distinct(list(judge_id))) AS ids FROM eval_results WHERE judge_id IS NOT NULL GROUP BY id)"
+
+
+@registry.add("source_sets", f"WITH {_SETS} SELECT array_to_string(ids, ',') AS sources, CASE WHEN len(ids) = 1 THEN 'single' ELSE 'cross' END AS kind, count(*) AS questions, min(id) AS first_id FROM q GROUP BY ids")
+def source_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions by the set of sources that they need, of one source or across several."""
+    q = table(spark, sf_dir, "eval_results").where("judge_id IS NOT NULL").groupBy("id").agg(F.array_sort(F.collect_set("judge_id")).alias("ids"))
+    return q.groupBy("ids").agg(F.count("*").alias("questions"), F.min("id").alias("first_id")).selectExpr("array_join(ids, ',') AS sources", "CASE WHEN size(ids) = 1 THEN 'single' ELSE 'cross' END AS kind", "questions", "first_id")
+
+
+@registry.add("evaluable_questions", "WITH a AS (SELECT judge_id FROM eval_results WHERE judge_id IS NOT NULL AND judge_id < 'judge-s' GROUP BY judge_id HAVING count(*) >= 5), q AS (SELECT DISTINCT id, judge_id FROM eval_results WHERE judge_id IS NOT NULL) SELECT id, count(*) AS sources FROM q GROUP BY id HAVING bool_and(judge_id IN (SELECT judge_id FROM a))")
+def evaluable_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions that need a source and find all they need among those available."""
+    e = table(spark, sf_dir, "eval_results").where("judge_id IS NOT NULL")
+    have = e.where("judge_id < 'judge-s'").groupBy("judge_id").agg(F.count("*").alias("n")).where("n >= 5")
+    return M.evaluable(e.select("id", F.col("judge_id").alias("source")).distinct(), have.select(F.col("judge_id").alias("source")), "id")
 
 
 _RANK = "s AS (SELECT q.vec_id AS query, v.vec_id AS id, q.label = v.label AS rel, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank, sum(CAST(rel AS INTEGER)) OVER (PARTITION BY query) AS n FROM s)"
@@ -177,7 +254,7 @@ def contrastive_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add("subset_questions", "WITH a AS (SELECT DISTINCT subject FROM captions_a WHERE granularity = '1h' AND subject IS NOT NULL), q AS (SELECT DISTINCT id, subject FROM qa_mcq) SELECT id FROM q WHERE subject IN (SELECT subject FROM a)")
 def subset_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions all of whose sources are there."""
+    """Questions of subjects that have hourly captions."""
     have = table(spark, sf_dir, "captions_a").where("granularity = '1h'").select("subject").distinct()
     return table(spark, sf_dir, "qa_mcq").select("id", "subject").distinct().join(have, "subject", "left_semi").select("id")
 
