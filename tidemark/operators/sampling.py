@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import slices
 
-def interleave_cycle(rows: DataFrame, source: str, order: str, stop: str = "first") -> DataFrame:
-    """Rows of all sources in turn, as ``pos``: round by round, sources by name.
+
+def interleave_cycle(rows: DataFrame, source: str, order: str, stop: str = "first", slice_rows: int = 4096) -> DataFrame:
+    """Rows of all sources in turn, as ``pos``: round by round, sources by name. ``order`` is a whole number.
 
     ``first`` stops when a source has no more rows, with the last full round; ``all`` goes on without the exhausted ones.
     """
-    numbered = rows.selectExpr("*", f"row_number() OVER (PARTITION BY {source} ORDER BY {order}) AS round")
+    numbered = slices.numbered(rows, [source], [order], f"floor({order} / {slice_rows})", "round")
     if stop == "first":
         least = rows.groupBy(source).agg(F.count("*").alias("n")).agg(F.min("n").alias("least"))
         numbered = numbered.join(F.broadcast(least), F.col("round") <= F.col("least")).drop("least")  # one row
     sizes = numbered.groupBy("round").agg(F.count("*").alias("here"))
-    before = sizes.selectExpr("round", "coalesce(sum(here) OVER (ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before")
+    before = slices.running_sum(sizes.withColumn("all", F.lit(0)), ["all"], ["round"], f"floor(round / {slice_rows})", "here", "before", upto=False).select("round", "before")
     return numbered.join(before, "round").selectExpr("*", f"before + row_number() OVER (PARTITION BY round ORDER BY {source}) AS pos").drop("before")
 
 

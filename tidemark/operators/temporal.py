@@ -10,7 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import slices
+
 SIX_HOURS = 6 * 3600
+#: Slices of running seconds: a day, or a smaller cut of it.
+DAY = "start_ts DIV 86400"
 #: Coarse granularity, fine granularity, edge weight.
 LADDER = [("3min", "30sec", 1.0), ("10min", "3min", 1.0), ("1h", "10min", 1.0), ("1h", "30sec", 0.5)]
 #: How many results of each kind a ranking may hold.
@@ -31,10 +35,7 @@ def contains_edges(episodes: DataFrame, bucket_s: int = 3600) -> DataFrame:
 
 def temporal_next_edges(episodes: DataFrame, longest_gap_s: int = SIX_HOURS) -> DataFrame:
     """(src, dst, weight), both ways, between consecutive episodes of a granularity that are not too far apart."""
-    nxt = episodes.selectExpr(
-        "id AS a", "end_ts", "lead(id) OVER (PARTITION BY subject, granularity ORDER BY start_ts, id) AS b",
-        "lead(start_ts) OVER (PARTITION BY subject, granularity ORDER BY start_ts, id) AS next_start",
-    ).selectExpr("a", "b", "next_start - end_ts AS gap")
+    nxt = slices.following(episodes.selectExpr("subject", "granularity", "id AS a", "start_ts", "end_ts"), ["subject", "granularity"], ["start_ts", "a"], DAY, {"b": "a", "next_start": "start_ts"}).selectExpr("a", "b", "next_start - end_ts AS gap")
     near = nxt.where(f"b IS NOT NULL AND gap >= 0 AND gap <= {longest_gap_s}")
     return near.select(F.expr("inline(array(struct(a AS src, b AS dst), struct(b AS src, a AS dst)))"), F.expr("1D / (gap + 1) AS weight"))
 
@@ -87,8 +88,7 @@ def nearest_start(captions: DataFrame, stamps: DataFrame, within: int) -> DataFr
 
 def fixed_rollup(rows: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
     """Groups of n consecutive rows: first start, last end, first path, texts that are not blank in order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    numbered = rows.withColumn("rn", F.row_number().over(w)).withColumn("grp", F.expr(f"CAST((rn - 1) DIV {n} AS bigint)"))
+    numbered = slices.numbered(rows, keys, order, DAY).withColumn("grp", F.expr(f"CAST((rn - 1) DIV {n} AS bigint)"))
     return numbered.groupBy(*keys, "grp").agg(
         F.min_by("start_ts", "rn").alias("start_ts"), F.max_by("end_ts", "rn").alias("end_ts"), F.min_by("video_path", "rn").alias("video_path"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.trim("text") != "", F.struct("rn", "text")))), lambda x: x["text"]), " ").alias("text"), F.count("*").alias("n_rows"),
@@ -146,8 +146,7 @@ def anchor_windows(rows: DataFrame, keys: list[str], start: str, end: str, lengt
 
 def uniform_sample(rows: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
     """n rows of each key at equal steps from first to last; all rows where there are at most n."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    numbered = rows.withColumns({"rn": F.row_number().over(w) - 1, "cnt": F.count("*").over(Window.partitionBy(*keys))})
+    numbered = slices.numbered(rows, keys, order, DAY, count="cnt").withColumn("rn", F.col("rn") - 1)
     # row r is taken if some step i has floor(i * (cnt - 1) / (n - 1)) = r
     step = f"(rn * {n - 1} + cnt - 2) DIV (cnt - 1)"
     return numbered.where(f"cnt <= {n} OR (({step}) <= {n - 1} AND ({step}) * (cnt - 1) DIV {n - 1} = rn)").drop("cnt")
@@ -155,15 +154,13 @@ def uniform_sample(rows: DataFrame, keys: list[str], order: list[str], n: int) -
 
 def char_budget(rows: DataFrame, keys: list[str], order: list[str], text: str, chars: int) -> DataFrame:
     """Rows while the running length, with one separator each, stays within the budget."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("cum", F.sum(F.length(text) + 1).over(w)).where(F.col("cum") <= chars)
+    return slices.running_sum(rows, keys, order, DAY, f"length({text}) + 1", "cum").where(F.col("cum") <= chars)
 
 
 def frame_budget(rows: DataFrame, keys: list[str], order: list[str], frames: str, total: int = 64, per_clip: int = 16) -> DataFrame:
     """How many frames each clip gets from what earlier ones left of the total."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    capped = F.least(F.col(frames), F.lit(per_clip))
-    return rows.withColumn("allotted", F.greatest(F.lit(0), F.least(capped, F.lit(total) - F.coalesce(F.sum(capped).over(w), F.lit(0)))).cast("long"))
+    used = slices.running_sum(rows, keys, order, DAY, f"least({frames}, {per_clip})", "__used", upto=False)
+    return used.withColumn("allotted", F.expr(f"CAST(greatest(0, least(least({frames}, {per_clip}), {total} - __used)) AS bigint)")).drop("__used")
 
 
 def quota_rank(scored: DataFrame, query: list[str], kind: str, quotas: dict[str, int], top_k: int) -> DataFrame:

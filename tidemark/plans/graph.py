@@ -11,7 +11,8 @@ from tidemark.functions.text import entity_key
 from tidemark.operators import chains as C
 from tidemark.operators import graph as G
 from tidemark.operators import retrieve as R
-from tidemark.operators.temporal import quota_rank
+from tidemark.operators.slices import following
+from tidemark.operators.temporal import DAY, quota_rank
 from tidemark.plans.temporal import CAPS, captions
 from tidemark.registry import Registry
 from tidemark.runtime import table
@@ -183,8 +184,8 @@ def personalized_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add("caption_components", f"WITH {CAPS}, l AS (SELECT id, subject, start_ts, end_ts, lag(end_ts) OVER (PARTITION BY subject ORDER BY start_ts, id) AS e FROM caps WHERE granularity = '30sec'), g AS (SELECT *, sum(CASE WHEN e IS NULL OR start_ts - e > 30 OR start_ts < e THEN 1 ELSE 0 END) OVER (PARTITION BY subject ORDER BY start_ts, id ROWS UNBOUNDED PRECEDING) AS k FROM l) SELECT id, min(id) OVER (PARTITION BY subject, k) AS component FROM g QUALIFY count(*) OVER (PARTITION BY subject, k) > 1")
 def caption_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Connected components of captions that follow each other within half a minute."""
-    w = "OVER (PARTITION BY subject ORDER BY start_ts, id)"
-    nxt = captions(spark, sf_dir).where("granularity = '30sec'").selectExpr("id AS a", f"lead(id) {w} AS b", f"lead(start_ts) {w} - end_ts AS gap")
+    fine = captions(spark, sf_dir).where("granularity = '30sec'").selectExpr("subject", "id AS a", "start_ts", "end_ts")
+    nxt = following(fine, ["subject"], ["start_ts", "a"], DAY, {"b": "a", "then": "start_ts"}).selectExpr("a", "b", "then - end_ts AS gap")
     return G.components(nxt.where("b IS NOT NULL AND gap BETWEEN 0 AND 30").select("a", "b"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.clock import clock_seconds, day_label, day_number, running_seconds
+from tidemark.operators import slices
 from tidemark.operators import temporal as T
 from tidemark.registry import Registry
 from tidemark.runtime import table
@@ -38,8 +39,8 @@ def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add("caption_rows", f"WITH {CAPS} SELECT id, subject, granularity, granularity || '_' || CAST(row_number() OVER (PARTITION BY subject, granularity ORDER BY start_ts, id) - 1 AS VARCHAR) AS entry, CAST(start_ts AS BIGINT) AS start_ts, CAST(end_ts AS BIGINT) AS end_ts, 'DAY' || CAST(day AS VARCHAR) || ' ' || lpad(CAST(start_s // 3600 AS VARCHAR), 2, '0') || ':' || lpad(CAST(start_s // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(start_s % 60 AS VARCHAR), 2, '0') AS label FROM caps")
 def caption_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captions shaped into rows with an entry name and a display label."""
-    rows = captions(spark, sf_dir)
-    return rows.select("id", "subject", "granularity", F.expr("concat(granularity, '_', row_number() OVER (PARTITION BY subject, granularity ORDER BY start_ts, id) - 1)").alias("entry"), "start_ts", "end_ts", day_label(F.col("start_ts")).alias("label"))
+    rows = slices.numbered(captions(spark, sf_dir), ["subject", "granularity"], ["start_ts", "id"], T.DAY)
+    return rows.select("id", "subject", "granularity", F.expr("concat(granularity, '_', rn - 1)").alias("entry"), "start_ts", "end_ts", day_label(F.col("start_ts")).alias("label"))
 
 
 @registry.add("temporal_next_edges", f"WITH {CAPS}, n AS (SELECT id AS a, lead(id) OVER w AS b, lead(start_ts) OVER w - end_ts AS gap FROM caps WINDOW w AS (PARTITION BY subject, granularity ORDER BY start_ts, id)), k AS (SELECT a, b, 1.0::DOUBLE / (gap + 1) AS weight FROM n WHERE b IS NOT NULL AND gap BETWEEN 0 AND 21600) SELECT a AS src, b AS dst, round(weight, 9) AS weight FROM k UNION ALL SELECT b, a, round(weight, 9) FROM k")
@@ -88,9 +89,8 @@ def asof_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
     grans = caps.select("subject", "granularity").distinct()
     q = moments(spark, sf_dir).join(grans, "subject").selectExpr("subject", "granularity", "t", "id AS question")
     runs = caps.selectExpr("subject", "granularity", "end_ts AS t", "CAST(NULL AS string) AS question").unionByName(q)
-    over = "OVER (PARTITION BY subject, granularity ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    seen = runs.selectExpr("question", "granularity", f"count(CASE WHEN question IS NULL THEN 1 END) {over} AS visible", f"max(CASE WHEN question IS NULL THEN t END) {over} AS last_end")
-    return seen.where("question IS NOT NULL AND visible > 0").selectExpr("question AS id", "granularity", "visible", "last_end")
+    seen = slices.seen_so_far(runs.withColumn("v", F.expr("CASE WHEN question IS NULL THEN t END")), ["subject", "granularity"], "t", "t DIV 86400", "v")
+    return seen.where("question IS NOT NULL AND n > 0").selectExpr("question AS id", "granularity", "n AS visible", "top AS last_end")
 
 
 _SPANS = "spans AS (SELECT id AS span, subject, t - 60 AS s, t + 60 AS e FROM q)"
@@ -200,7 +200,8 @@ def video_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add("neighbour_captions", f"WITH {CAPS}, r AS (SELECT subject, id, row_number() OVER (PARTITION BY subject ORDER BY start_ts, id) - 1 AS i FROM caps WHERE granularity = '10min') SELECT a.id AS centre, b.id AS neighbour FROM r a JOIN r b ON a.subject = b.subject AND b.i BETWEEN greatest(0, a.i - 2) AND a.i + 2")
 def neighbour_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each caption with the two before and after it."""
-    r = captions(spark, sf_dir).where("granularity = '10min'").selectExpr("subject", "id", "row_number() OVER (PARTITION BY subject ORDER BY start_ts, id) - 1 AS i")
+    r = captions(spark, sf_dir).where("granularity = '10min'")
+    r = slices.numbered(r, ["subject"], ["start_ts", "id"], T.DAY).selectExpr("subject", "id", "rn - 1 AS i")
     around = r.selectExpr("subject", "id AS centre", "explode(sequence(greatest(0, i - 2), i + 2)) AS i")
     return around.join(r.withColumnRenamed("id", "neighbour"), ["subject", "i"]).select("centre", "neighbour")
 
@@ -210,9 +211,8 @@ def day_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """hourly diary entries that a question may see, and the stretch after the last of them."""
     caps = captions(spark, sf_dir).where("granularity = '1h'").selectExpr("subject", "CASE WHEN end_ts DIV 86400 + 1 > day THEN day * 86400 ELSE end_ts END AS t", "CAST(NULL AS string) AS id", "end_ts")
     q = moments(spark, sf_dir).selectExpr("subject", "t", "id", "CAST(NULL AS bigint) AS end_ts")
-    over = "OVER (PARTITION BY subject ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    seen = caps.unionByName(q).selectExpr("id", "t", f"count(end_ts) {over} AS events", f"max(end_ts) {over} AS tail_from")
-    return seen.where("id IS NOT NULL AND events > 0").selectExpr("id", "events", "tail_from", "t AS tail_to")
+    seen = slices.seen_so_far(caps.unionByName(q), ["subject"], "t", "t DIV 86400", "end_ts")
+    return seen.where("id IS NOT NULL AND n > 0").selectExpr("id", "n AS events", "top AS tail_from", "t AS tail_to")
 
 
 @registry.add("event_tumbling", "SELECT event_type, date_trunc('hour', ts) AS window_start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
