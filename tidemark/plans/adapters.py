@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import media
 from tidemark.functions.responses import recover_json
 from tidemark.operators import retrieve as R
-from tidemark.plans.graph import _ASKED, _BM25, text_scores
+from tidemark.plans.graph import _BM25, text_scores
 from tidemark.plans.temporal import CAPS, captions
 from tidemark.registry import Registry
 from tidemark.runtime import cut, table
@@ -102,12 +102,15 @@ def max_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add("retrieval_rounds", f"WITH {_BM25} SELECT query, id, CAST((row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) - 1) // 3 + 1 AS INTEGER) AS round FROM bm WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(bm.score, 9) DESC, id) <= 15")
 def retrieval_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five rounds for all questions at once, each adding the three best results not seen before."""
-    scored = cut(R.top(text_scores(spark, sf_dir).withColumn("score", F.round("score", 9)), ["query"], 15).drop("rank"))
+    """Up to five rounds for all questions at once, each adding the three best results not seen before.
+
+    Each round searches all scores again without what earlier rounds gave, and a question without new results ends.
+    """
+    scored = cut(text_scores(spark, sf_dir).withColumn("score", F.round("score", 9)))
     seen = None
     for k in range(1, 6):
         fresh = scored if seen is None else scored.join(seen, ["query", "id"], "left_anti")
-        got = R.top(fresh, ["query"], 3).select("query", "id", F.lit(k).alias("round"))
+        got = cut(R.top(fresh, ["query"], 3).select("query", "id", F.lit(k).alias("round")))
         seen = got if seen is None else seen.unionByName(got)
     return seen
 
@@ -118,11 +121,3 @@ def recovered_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = table(spark, sf_dir, "openie_raw").where("raw_output IS NOT NULL").select("resp_id", "raw_output").distinct()
     made = raw.withColumn("json", recover_json("raw_output"))
     return made.selectExpr("resp_id", "json = raw_output AS whole", "from_json(json, 'named_entities array<string>').named_entities IS NOT NULL AS readable")
-
-
-@registry.add("query_words", f"WITH {_ASKED} SELECT query, count(*) AS words FROM (SELECT query, unnest(string_split(text, ' ')) AS w FROM asked) GROUP BY query")
-def query_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that come from memory."""
-    from tidemark.plans.graph import QUESTIONS
-
-    return spark.createDataFrame(list(QUESTIONS.items()), "query int, text string").groupBy("query").agg(F.sum(F.size(F.split("text", " "))).alias("words"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as X
 from tidemark.operators import metrics as M
 from tidemark.operators import sampling as P
+from tidemark.operators.knn import similar, softmax_mass
 from tidemark.operators.minhash import near_duplicates
 from tidemark.registry import Registry
 from tidemark.runtime import table
@@ -167,19 +168,18 @@ def evaluable_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.evaluable(e.select("id", F.col("judge_id").alias("source")).distinct(), have.select(F.col("judge_id").alias("source")), "id")
 
 
-_RANK = "s AS (SELECT q.vec_id AS query, v.vec_id AS id, q.label = v.label AS rel, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank, sum(CAST(rel AS INTEGER)) OVER (PARTITION BY query) AS n FROM s)"
+_RANK = "s AS (SELECT q.vec_id AS query, v.vec_id AS id, q.label = v.label AS rel, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank, sum(CAST(rel AS INTEGER)) OVER (PARTITION BY query) AS n FROM s)"
 
 
 def ranked_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query, rel, n): every fiftieth vector against all others; one of its label is relevant."""
-    from tidemark.operators.retrieve import cosine
-
     e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id % 50 = 0").selectExpr("vec_id AS query", "embedding AS qv", "label AS ql")
-    scored = e.join(q, F.expr("vec_id <> query")).selectExpr("query", "vec_id AS id", "label = ql AS rel", f"{cosine('qv', 'embedding')} AS score")
-    best = scored.selectExpr("*", "row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank").where("rank <= 20")
-    ranked = best.groupBy("query").agg(F.expr("transform(array_sort(collect_list(struct(rank, CAST(rel AS int) AS rel))), x -> x.rel)").alias("rel"))
-    return ranked.join(scored.groupBy("query").agg(F.sum(F.col("rel").cast("long")).alias("n")), "query")
+    q = e.where("vec_id % 50 = 0").selectExpr("vec_id AS query", "embedding AS v", "label AS ql")
+    near = similar(q, e.selectExpr("vec_id AS id", "embedding AS v", "label AS kind"), 21, dim=64).where("id <> query")
+    best = near.selectExpr("*", "row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS r").where("r <= 20").join(q.select("query", "ql"), "query")
+    ranked = best.groupBy("query").agg(F.expr("transform(array_sort(collect_list(struct(r, CAST(kind = CAST(ql AS string) AS int) AS rel))), x -> x.rel)").alias("rel"))
+    sizes = e.groupBy(F.col("label").alias("ql")).agg((F.count("*") - 1).alias("n"))
+    return ranked.join(q.select("query", "ql"), "query").join(sizes, "ql").select("query", "rel", "n")
 
 
 @registry.add("ranking_metrics", f"WITH {_RANK}, c AS (SELECT query, k, any_value(n) AS n, CAST(sum(CAST(rel AS INTEGER)) AS DOUBLE) AS hits, sum(CASE WHEN rel THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg, min(CASE WHEN rel THEN rank END) AS first FROM r, (VALUES (1), (5), (10)) t(k) WHERE rank <= k GROUP BY query, k), p AS (SELECT query, rank, rel, sum(CAST(rel AS INTEGER)) OVER (PARTITION BY query ORDER BY rank) / CAST(rank AS DOUBLE) AS pr FROM r WHERE rank <= 10), a AS (SELECT query, k, sum(CASE WHEN rel THEN pr ELSE 0 END) AS ap FROM p, (VALUES (1), (5), (10)) t(k) WHERE rank <= k GROUP BY query, k), i AS (SELECT c.query, c.k, sum(1 / log2(g + 1)) AS idcg FROM c, range(1, 11) t(g) WHERE g <= least(c.k, greatest(1, n)) GROUP BY ALL) SELECT c.query, c.k, round(hits / c.k, 6) AS precision, round(CASE WHEN n = 0 THEN 1 ELSE hits / n END, 6) AS recall, CASE WHEN hits > 0 THEN 1.0::DOUBLE ELSE 0 END AS hit, round(CASE WHEN hits = 0 OR n = 0 THEN 0 ELSE 2 * hits / (c.k + n) END, 6) AS f1, round(CASE WHEN n = 0 THEN 0 ELSE ap / least(n, c.k) END, 6) AS ap, round(coalesce(1.0 / first, 0), 6)::DOUBLE AS rr, round(CASE WHEN n = 0 THEN 0 ELSE dcg / idcg END, 6) AS ndcg FROM c JOIN a ON a.query = c.query AND a.k = c.k JOIN i ON i.query = c.query AND i.k = c.k")
@@ -242,14 +242,11 @@ def label_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add("contrastive_loss", f"WITH {_RANK}, b AS (SELECT query, min(rank) AS first FROM r WHERE rel GROUP BY query), x AS (SELECT r.query, score / 0.05 AS x, rank = first AS pos FROM r JOIN b ON b.query = r.query), m AS (SELECT query, max(x) AS top FROM x GROUP BY query) SELECT x.query, round(ln(sum(exp(x - top))) + any_value(top) - max(CASE WHEN pos THEN x END), 6) AS loss FROM x JOIN m ON m.query = x.query GROUP BY x.query")
 def contrastive_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loss of the nearest vector of the same label among all others."""
-    from tidemark.operators.retrieve import cosine
-
     e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id % 50 = 0").selectExpr("vec_id AS query", "embedding AS qv", "label AS ql")
-    scored = e.join(q, F.expr("vec_id <> query")).selectExpr("query", "vec_id AS id", "label = ql AS rel", f"{cosine('qv', 'embedding')} AS score")
-    first = scored.where("rel").groupBy("query").agg(F.max_by("id", F.struct("score", F.expr("-id"))).alias("first"))
-    pairs = scored.join(first, "query").selectExpr("query", "score", "id = first AS is_pos")
-    return P.contrastive_loss(pairs, ["query"], 0.05).selectExpr("query", "round(loss, 6) AS loss")
+    items = e.selectExpr("vec_id AS id", "embedding AS v", "label AS kind", "label AS `group`")
+    q = e.where("vec_id % 50 = 0").selectExpr("vec_id AS query", "embedding AS v", "label AS `group`")
+    own = similar(q, items, 2, dim=64, group=True).where("id <> query").groupBy("query").agg(F.max("score").alias("pos"))
+    return softmax_mass(q, items, 0.05, dim=64).join(own, "query").selectExpr("query", "round(log_mass - pos / 0.05D, 6) AS loss")
 
 
 @registry.add("subset_questions", "WITH a AS (SELECT DISTINCT subject FROM captions_a WHERE granularity = '1h' AND subject IS NOT NULL), q AS (SELECT DISTINCT id, subject FROM qa_mcq) SELECT id FROM q WHERE subject IN (SELECT subject FROM a)")

@@ -11,6 +11,7 @@ from tidemark.functions.text import entity_key
 from tidemark.operators import chains as C
 from tidemark.operators import graph as G
 from tidemark.operators import retrieve as R
+from tidemark.operators.knn import similar
 from tidemark.operators.slices import following
 from tidemark.operators.temporal import DAY, quota_rank
 from tidemark.plans.temporal import CAPS, captions
@@ -204,14 +205,24 @@ def _round(df: DataFrame) -> DataFrame:
     return df.withColumn("score", F.round("score", 6))
 
 
-@registry.add("asof_topk_quota", f"WITH s AS (SELECT q.vec_id AS query, v.vec_id AS id, CAST(v.label AS VARCHAR) AS kind, {_COS} AS score FROM embeddings q JOIN embeddings v ON v.vec_id * 30 <= q.vec_id * 30 + 6000 WHERE q.vec_id % 50 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY query, kind ORDER BY score DESC, id) AS kr FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM k WHERE kr <= CASE kind WHEN '0' THEN 3 WHEN '1' THEN 2 WHEN '2' THEN 0 ELSE 4 END) SELECT query, id, kind, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 16")
+_ROUNDED = "s AS (SELECT q.vec_id AS query, v.vec_id AS id, CAST(v.label AS VARCHAR) AS kind, round({cos}, 9) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 {more})"
+
+
+@registry.add("asof_topk_quota", f"WITH {_ROUNDED.format(cos=_COS, more='AND v.vec_id * 30 <= q.vec_id * 30 + 6000')}, k AS (SELECT *, row_number() OVER (PARTITION BY query, kind ORDER BY score DESC, id) AS kr FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM k WHERE kr <= CASE kind WHEN '0' THEN 3 WHEN '1' THEN 2 WHEN '2' THEN 0 ELSE 4 END) SELECT query, id, kind, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 16")
 def asof_topk_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each query may see, ranked by similarity under quotas."""
+    """What each query may see, ranked by similarity under quotas."""
     q, items = vectors(spark, sf_dir)
-    scored = items.join(q.withColumnRenamed("v", "qv"), F.expr("id * 30 <= query * 30 + 6000")).selectExpr("query", "id", "kind", f"{R.cosine('qv', 'v')} AS score")
+    scored = similar(q.withColumn("until", F.expr("query * 30 + 6000")), items.withColumn("t", F.expr("id * 30")), 4, dim=64, per_kind=True, until=True).drop("rank")
     return _round(quota_rank(scored, ["query"], "kind", {"0": 3, "1": 2, "2": 0} | {str(k): 4 for k in range(3, 10)}, 16)).select("query", "id", "kind", "score", "rank")
 
 
+@registry.add("granularity_topk", f"WITH {_ROUNDED.format(cos=_COS, more='')}, k AS (SELECT *, row_number() OVER (PARTITION BY query, kind ORDER BY score DESC, id) AS rank FROM s WHERE kind IN ('0', '1', '2', '3')) SELECT query, id, kind, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= CASE kind WHEN '0' THEN 10 WHEN '3' THEN 3 ELSE 5 END")
+def granularity_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of each kind for each query, as many as the kind allows; four labels stand for four granularities."""
+    q, items = vectors(spark, sf_dir)
+    return _round(similar(q, items.where("kind IN ('0', '1', '2', '3')"), 10, dim=64, per_kind=True).where("rank <= CASE kind WHEN '0' THEN 10 WHEN '3' THEN 3 ELSE 5 END"))
+
+
 _KNN = f"s AS (SELECT q.vec_id AS query, v.vec_id AS id, CAST(v.label AS VARCHAR) AS kind, {_COS} AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 {{pre}}), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM s) SELECT query, id, kind, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10 {{post}}"
 
 
@@ -227,37 +238,64 @@ def postfilter_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(R.nearest(*vectors(spark, sf_dir), 10, after="kind IN ('1', '3', '5')"))
 
 
-@registry.add("synonym_edges", f"SELECT q.vec_id AS query, v.vec_id AS id, round({_COS}, 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id AND {_COS} >= 0.25 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, v.vec_id) <= 101")
+_USABLE = "ve AS (SELECT DISTINCT ON (vec_id) vec_id, embedding FROM visual_embeddings WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0)))"
+
+
+def clip_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(queries, items) of the clips' vectors: every row whose id is divisible by 50 asks, all rows answer."""
+    v = table(spark, sf_dir, "visual_embeddings").dropDuplicates(["vec_id"])
+    return v.where("vec_id % 50 = 0").selectExpr("vec_id AS query", "embedding AS v"), v.selectExpr("vec_id AS id", "embedding AS v", "'' AS kind")
+
+
+def _edges_sql(floor: float, k: int) -> str:
+    return f"WITH {_USABLE}, {_ROUNDED.format(cos=_COS, more='AND q.vec_id <> v.vec_id').replace('embeddings q, embeddings v', 've q, ve v').replace(', CAST(v.label AS VARCHAR) AS kind', '')} SELECT query, id, round(score, 6) AS score FROM s WHERE score >= {floor} QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, id) <= {k}"
+
+
+@registry.add("synonym_edges", _edges_sql(0.8, 101))
 def synonym_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similar enough neighbours, at most 101 of them."""
-    q, items = vectors(spark, sf_dir)
-    scored = items.join(q.withColumnRenamed("v", "qv"), F.expr("id <> query")).selectExpr("query", "id", f"{R.cosine('qv', 'v')} AS score").where("score >= 0.25")
-    return _round(R.top(scored, ["query"], 101)).select("query", "id", "score")
+    """Of 2,047 nearest neighbours those with a cosine of 0.8 at least, at most 101 of them."""
+    q, items = clip_vectors(spark, sf_dir)
+    near = similar(q, items, 2048, dim=64, floor=0.8).where("id <> query")
+    return _round(R.top(near.drop("rank"), ["query"], 101)).select("query", "id", "score")
+
 
+@registry.add("relevant_facts", _edges_sql(0.6, 20))
+def relevant_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty most similar ones, then those of 0.6 at least."""
+    q, items = clip_vectors(spark, sf_dir)
+    near = similar(q, items, 21, dim=64).where("id <> query")
+    return _round(R.top(near.drop("rank"), ["query"], 20).where("score >= 0.6")).select("query", "id", "score")
 
-@registry.add("cross_group_merge", f"WITH s AS (SELECT q.vec_id AS query, v.vec_id AS id, CAST(v.label AS VARCHAR) AS kind, {_COS} AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0), t AS (SELECT *, row_number() OVER (PARTITION BY query, kind ORDER BY score DESC, id) AS k FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM t WHERE k <= 5) SELECT query, id, kind, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 8")
+
+@registry.add("cross_group_merge", f"WITH {_ROUNDED.format(cos=_COS, more='')}, t AS (SELECT *, row_number() OVER (PARTITION BY query, kind ORDER BY score DESC, id) AS k FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM t WHERE k <= 5) SELECT query, id, kind, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 8")
 def cross_group_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best of each group, merged and ranked again."""
+    """The best of each group, merged and ranked again, with the group they come from."""
     q, items = vectors(spark, sf_dir)
-    scored = items.join(q.withColumnRenamed("v", "qv")).selectExpr("query", "id", "kind", f"{R.cosine('qv', 'v')} AS score")
-    return _round(R.top(R.top(scored, ["query", "kind"], 5).drop("rank"), ["query"], 8))
+    return _round(R.top(similar(q, items, 5, dim=64, per_kind=True).drop("rank"), ["query"], 8))
 
 
 # --- text search ---------------------------------------------------------------------------------------
 
-#: Stated queries of the text search.
-QUESTIONS = {1: "who left the green kettle in the kitchen", 2: "wo liegt das Stativ im Lagerraum", 3: "the borrowed camera strap near the stairs", 4: "combien d'invités dans le salon", 5: "what did Maelin photograph"}
-_ASKED = "asked AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, '{v.replace(chr(39), chr(39) * 2)}')" for k, v in QUESTIONS.items()) + ") t(query, text))"
+#: Queries of the text searches: every question whose number is divisible by 50.
+_NUMBER = "CAST(regexp_extract(id, '([0-9]+)$', 1) AS BIGINT)"
+_ASKED = f"asked AS (SELECT DISTINCT {_NUMBER} AS query, subject, question AS text FROM qa_mcq WHERE {_NUMBER} % 50 = 0 AND question IS NOT NULL)"
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = "CAST(regexp_extract(id, '([0-9]+)$', 1) AS bigint)"
+    return table(spark, sf_dir, "qa_mcq").where(f"{number} % 50 = 0 AND question IS NOT NULL").selectExpr(f"{number} AS query", "subject", "question AS text").distinct()
+
+
 _BM25 = f"""{_ASKED}, docs AS (SELECT id, text FROM (SELECT doc_id AS id, text FROM documents WHERE text IS NOT NULL)),
 tf AS (SELECT id, word, count(*) AS tf FROM (SELECT id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS word FROM docs) WHERE word <> '' GROUP BY ALL), dl AS (SELECT id, sum(tf) AS dl FROM tf GROUP BY id),
 n AS (SELECT count(*) AS n_docs FROM docs), av AS (SELECT sum(dl) / (SELECT n_docs FROM n) AS avg_dl FROM dl), idf AS (SELECT word, ln(n_docs - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM tf, n GROUP BY word, n_docs), mean AS (SELECT avg(idf) AS m FROM idf),
-a AS (SELECT query, word, count(*) AS times FROM (SELECT query, unnest(regexp_split_to_array(lower(text), '\\s+')) AS word FROM asked) GROUP BY ALL),
+a AS (SELECT query, word, count(*) AS times FROM (SELECT query, unnest(regexp_split_to_array(lower(text), '\\s+')) AS word FROM asked) WHERE word <> '' GROUP BY ALL),
 bm AS (SELECT query, tf.id, sum(times * CASE WHEN idf < 0 THEN 0.25 * m ELSE idf END * tf.tf * 2.5 / (tf.tf + 1.5 * (0.25 + 0.75 * dl / avg_dl))) AS score FROM a JOIN idf ON idf.word = a.word JOIN tf ON tf.word = a.word JOIN dl ON dl.id = tf.id, av, mean GROUP BY query, tf.id)"""
 
 
 def text_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").selectExpr("doc_id AS id", "text")
-    return R.bm25(docs, spark.createDataFrame(list(QUESTIONS.items()), "query int, text string"))
+    return R.bm25(docs, asked(spark, sf_dir).select("query", "text"))
 
 
 @registry.add("bm25_topk", f"WITH {_BM25} SELECT query, id, round(score, 6) AS score FROM bm WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(bm.score, 9) DESC, id) <= 10")
@@ -267,32 +305,6 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(R.top(text_scores(spark, sf_dir).withColumn("score", F.round("score", 9)), ["query"], 10)).select("query", "id", "score")
 
 
-@registry.add("reset_vector", f"WITH {_BM25}, mx AS (SELECT query, id, round(score / max(score) OVER (PARTITION BY query), 9) AS score FROM bm WHERE score > 0), s AS (SELECT * FROM mx QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, id) <= 5), f AS (SELECT query, doc_id AS id, 1.0 / (1 + n_chars) AS score FROM documents, (SELECT DISTINCT query FROM asked) WHERE n_chars > 0 QUALIFY row_number() OVER (PARTITION BY query ORDER BY 1.0 / (1 + n_chars) DESC, doc_id) <= 5), u AS (SELECT query, id, 0.3 * score AS x FROM s UNION ALL SELECT query, id, 0.7 * score FROM f), g AS (SELECT query, id, sum(x) AS x FROM u GROUP BY ALL) SELECT query, id, round(x / sum(x) OVER (PARTITION BY query), 6) AS p FROM g")
-def reset_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seeds of two kinds, weighted and scaled to one."""
-    words = text_scores(spark, sf_dir).selectExpr("query", "id", "round(score / max(score) OVER (PARTITION BY query), 9) AS score")
-    shortest = table(spark, sf_dir, "documents").where("n_chars > 0").selectExpr("doc_id AS id", "1D / (1 + n_chars) AS score")
-    # the same seeds for all queries: rank once, then name the queries
-    five = R.top(shortest.withColumn("all", F.lit(0)), ["all"], 5).select("id", "score")
-    seeds = five.select(F.explode(F.array(*[F.lit(k) for k in QUESTIONS])).alias("query"), "id", "score")
-    return R.reset_vector([(R.top(words, ["query"], 5), 0.3), (seeds, 0.7)]).selectExpr("query", "id", "round(p, 6) AS p")
-
-
-_FACTS = f"WITH {RECS}, {_ASKED}, fw AS (SELECT resp_id, s, p, o, md5(s || '|' || p || '|' || o) AS fact, list_distinct(string_split(lower(s || ' ' || p || ' ' || o), ' ')) AS ws FROM tri), fs AS (SELECT DISTINCT query, fact, s, o, CAST(len(list_intersect(ws, list_distinct(string_split(lower(text), ' ')))) AS DOUBLE) AS score FROM fw, asked), sc AS (SELECT query, fact, s, o, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS score FROM fs WINDOW w AS (PARTITION BY query)), best AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, fact) <= 5), m AS (SELECT phrase, count(DISTINCT chunk_id) AS n FROM (SELECT s AS phrase, chunk_id FROM tri UNION ALL SELECT o, chunk_id FROM tri) GROUP BY phrase), ph AS (SELECT query, unnest([s, o]) AS phrase, score FROM best), w AS (SELECT query, ph.phrase AS id, avg(score / n) AS score FROM ph JOIN m ON m.phrase = ph.phrase GROUP BY ALL), kept AS (SELECT * FROM w WHERE TRUE QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, id) <= 5), pos AS (SELECT query, id, score AS x FROM kept WHERE score > 0) SELECT query, id, round(x / sum(x) OVER (PARTITION BY query), 6) AS p FROM pos"
-
-
-@registry.add("fact_phrases", _FACTS)
-def fact_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The walk's start from the facts that share most words with a question."""
-    t = triples(spark, sf_dir)
-    asked = spark.createDataFrame(list(QUESTIONS.items()), "query int, text string")
-    facts = t.selectExpr("s", "o", "md5(concat_ws('|', s, p, o)) AS fact", "array_distinct(split(lower(concat_ws(' ', s, p, o)), ' ')) AS ws").distinct()
-    scored = facts.join(F.broadcast(asked)).selectExpr("query", "fact", "s", "o", "CAST(size(array_intersect(ws, split(lower(text), ' '))) AS double) AS score")
-    mentions = t.select(F.expr("explode(array(s, o)) AS phrase"), F.col("chunk_id").alias("passage"))
-    none = scored.selectExpr("query", "fact AS id", "score").where("false")
-    return R.fact_passages(scored, none, mentions).selectExpr("query", "id", "round(p, 6) AS p")
-
-
 # --- stores --------------------------------------------------------------------------------------------
 
 
