@@ -28,7 +28,7 @@ def episodes(captions: DataFrame) -> DataFrame:
 
 def clips(captions: DataFrame) -> DataFrame:
     """One node for each clip of a 30-second caption; of several captions of a clip the first gives the text, the latest the end."""
-    rows = captions.where("granularity = '30sec' AND video_path IS NOT NULL").selectExpr("subject", "concat(subject, '/vis_', video_path, ':', start_s) AS id", "video_path", "start_s", "text", "start_ts", "end_ts", "id AS ord")
+    rows = captions.where("granularity = '30sec' AND video_path IS NOT NULL").selectExpr("subject", "concat(subject, '/vis_', video_path, ':', start_ts) AS id", "video_path", "start_s", "text", "start_ts", "end_ts", "id AS ord")
     return rows.groupBy("subject", "id", "video_path", "start_s", "start_ts").agg(F.min_by("text", "ord").alias("text"), F.max("end_ts").alias("end_ts")).selectExpr("subject", "id", "'visual_clip' AS node_type", "'visual_clip' AS kind", "text", "start_ts", "end_ts", "video_path", "start_s")
 
 
@@ -184,12 +184,11 @@ def passage_search(facts: DataFrame, passages: DataFrame, graph: DataFrame, quer
     ``facts`` (chunk, s, p, o), ``passages`` (chunk, text), ``graph`` of ``passage_graph``. Similarities are scaled from the lowest to the highest
     of each query; a phrase weighs the mean over its facts of their score by the number of passages that hold it.
     """
-    from tidemark.functions.vectors import cosine, min_max
+    from tidemark.functions.vectors import cosine
 
     distinct = facts.selectExpr("md5(concat_ws('|', s, p, o)) AS fact", "s", "p", "o").distinct().selectExpr("fact", "s", "o", f"{models.encode_text('concat_ws(chr(32), s, p, o)')} AS v")
     asked = queries.selectExpr("query", f"{models.encode_text('text')} AS q")
-    bounded = asked.selectExpr("collect_list(struct(query, q)) AS asked")  # the stated query set
-    each = lambda rows: rows.join(bounded).selectExpr("*", "inline(asked)").drop("asked")
+    each = lambda rows: rows.crossJoin(asked)  # noqa: E731  (the stated query set: all passages are seeds of each)
     scored = each(distinct).selectExpr("query", "fact", "s", "o", f"round({cosine('q', 'v')}, 9) AS score")
     told = each(passages.selectExpr("concat('\u0001', chunk) AS id", f"{models.encode_text('text')} AS v")).selectExpr("query", "id", f"round({cosine('q', 'v')}, 9) AS score")
     mentioned = facts.select(F.expr("explode(array(s, o))").alias("phrase"), F.col("chunk").alias("passage"))

@@ -72,12 +72,6 @@ def mentioned_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities(spark, sf_dir).groupBy(F.col("id").alias("src"), F.col("chunk_id").alias("dst")).agg(F.count("*").alias("times"))
 
 
-@registry.add("appeared_in", f"WITH {RECS} SELECT DISTINCT 'ent_' || {KEY} AS src, subject AS dst, 0.8::DOUBLE AS weight FROM ent WHERE subject IS NOT NULL")
-def appeared_in(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each entity once for each wearer whose clips show it."""
-    return entities(spark, sf_dir).where("subject IS NOT NULL").select(F.col("id").alias("src"), F.col("subject").alias("dst"), F.lit(0.8).alias("weight")).distinct()
-
-
 @registry.add("has_property", f"WITH {RECS}, ids AS (SELECT DISTINCT {KEY} AS k FROM ent), x AS (SELECT resp_id, p, {_KEY.format(n='s', p='subject')} AS ks, {_KEY.format(n='o', p='subject')} AS ko FROM (SELECT resp_id, s, p, o, coalesce(subject, '') AS subject FROM tri)) SELECT resp_id, 'ent_' || ks AS src, p, 1.0::DOUBLE AS weight FROM x WHERE ks IN (SELECT k FROM ids) UNION ALL SELECT resp_id, 'ent_' || ko, p, 0.5 FROM x WHERE ko IN (SELECT k FROM ids)")
 def has_property(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A triple belongs to its subject, and half to its object, where these are entities."""
@@ -147,23 +141,6 @@ def semantic_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(F.broadcast(month), F.col("ts") == F.col("last")).select("s", "p", "o").distinct()
 
 
-_NODES = f"""{CAPS}, {RECS},
-nodes AS (SELECT 'ep_' || CAST(id AS VARCHAR) AS id, 'episode' AS node_type, CAST(start_ts AS DOUBLE) AS start_ts, CAST(end_ts AS DOUBLE) AS end_ts, subject FROM caps
-  UNION ALL SELECT 'ent_' || name || '@' || subject, 'entity', min(CAST(epoch(created_at) AS DOUBLE)) - 1654000000, max(CAST(epoch(created_at) AS DOUBLE)) - 1654000000, subject FROM (SELECT name, subject, created_at FROM ent WHERE subject IS NOT NULL) GROUP BY name, subject
-  UNION ALL SELECT 'sem_' || CAST(resp_id AS VARCHAR), 'semantic', CAST(resp_id // 100 AS DOUBLE) * 1000, CAST(resp_id // 100 AS DOUBLE) * 1000, subject FROM recs WHERE subject IS NOT NULL)"""
-
-
-@registry.add("asof_subgraph", f"WITH {_NODES}, v AS (SELECT * FROM nodes WHERE (node_type = 'episode' AND end_ts <= 200000) OR (node_type = 'entity' AND start_ts <= 200000) OR (node_type = 'semantic' AND start_ts = (SELECT max(start_ts) FROM nodes WHERE node_type = 'semantic' AND start_ts <= 200000))), e AS (SELECT 'ent_' || name || '@' || subject AS src, 'sem_' || CAST(resp_id AS VARCHAR) AS dst FROM ent WHERE subject IS NOT NULL) SELECT src, dst, count(*) AS times FROM e WHERE src IN (SELECT id FROM v) AND dst IN (SELECT id FROM v) GROUP BY ALL")
-def asof_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges between entities and records that are both visible at a time."""
-    caps = captions(spark, sf_dir).selectExpr("concat('ep_', id) AS id", "'episode' AS node_type", "CAST(start_ts AS double) AS start_ts", "CAST(end_ts AS double) AS end_ts")
-    e = entities(spark, sf_dir).where("subject IS NOT NULL").selectExpr("concat('ent_', name, '@', subject) AS id", "CAST(unix_micros(created_at) AS double) / 1000000 - 1654000000 AS t", "resp_id")
-    ents = e.groupBy("id").agg(F.min("t").alias("start_ts"), F.max("t").alias("end_ts")).selectExpr("id", "'entity' AS node_type", "start_ts", "end_ts")
-    sems = records(spark, sf_dir).where("subject IS NOT NULL").selectExpr("concat('sem_', resp_id) AS id", "'semantic' AS node_type", "CAST(resp_id DIV 100 AS double) * 1000 AS start_ts", "CAST(resp_id DIV 100 AS double) * 1000 AS end_ts")
-    edges = e.selectExpr("id AS src", "concat('sem_', resp_id) AS dst")
-    return G.visible(caps.unionByName(ents).unionByName(sems), edges, 200000.0)[1].groupBy("src", "dst").agg(F.count("*").alias("times"))
-
-
 #: Steps of the plain walk in SQL; what is undecided after them, 0.85 to that power, lies below what is compared.
 SQL_STEPS = 250
 _WALK = """d AS (SELECT s, o FROM tri WHERE s <> o), b AS (SELECT s AS src, o AS dst FROM d UNION ALL SELECT o, s FROM d), e AS (SELECT src, dst, CAST(count(*) AS DOUBLE) AS weight FROM b GROUP BY ALL),
