@@ -36,18 +36,123 @@ def keyword_hits(entities: DataFrame, captions: DataFrame) -> DataFrame:
     return met.join(captions.selectExpr("subject", "id", "lower(text) AS text"), ["subject", "id"]).where("text RLIKE pattern").select("subject", "entity", "id").distinct()
 
 
-def chain_facts(retrieved: DataFrame, hits: DataFrame, facts: DataFrame, covers: DataFrame, least_hits: int, most: int) -> DataFrame:
-    """(subject, entity, t, fact): facts of the entities that retrieved episodes mention most.
+def event_chains(mentions: DataFrame, least_steps: int = 2, least_mentions: int = 2) -> DataFrame:
+    """(subject, chain, step, day, start_ts, end_ts, days): what a name goes through from day to day.
 
-    ``retrieved`` (subject, id, until); an entity needs ``least_hits`` retrieved episodes, and the ``most`` best of a subject
-    count, ties by name. Facts (subject, entity, t, fact) later than the subject's ``until``, or within a minute of
-    a cover (subject, c), are left out.
+    First each day by itself: a step is the stretch of a day in which a name is mentioned so often at least; a step without
+    extent at 0 is none. Then over days: names that differ in case are one chain, under the spelling that comes first. Chains need
+    ``least_steps`` steps. ``mentions`` has ``subject, name, start_ts, end_ts``.
     """
+    daily = mentions.selectExpr("subject", "name", "start_ts DIV 86400 + 1 AS day", "start_ts", "end_ts").groupBy("subject", "name", "day").agg(F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"), F.count("*").alias("n"))
+    steps = daily.where(f"n >= {least_mentions} AND NOT (start_ts = 0 AND end_ts = 0)")
+    joined = steps.groupBy("subject", F.lower("name").alias("key"), "day").agg(F.min_by("name", F.struct("start_ts", "name")).alias("name"), F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"))
+    spans = joined.groupBy("subject", "key").agg(F.count("*").alias("steps"), F.countDistinct("day").alias("days"), F.min_by("name", F.struct("start_ts", "name")).alias("chain")).where(f"steps >= {least_steps}")
+    # a chain has at most one step a day
+    numbered = joined.drop("name").join(spans.drop("steps"), ["subject", "key"]).selectExpr("*", "CAST(row_number() OVER (PARTITION BY subject, key ORDER BY start_ts) AS bigint) AS step")
+    return numbered.select("subject", "chain", "step", "day", "start_ts", "end_ts", "days")
+
+
+def in_steps(steps: DataFrame, points: DataFrame, bucket_s: int = 3600) -> DataFrame:
+    """(subject, chain, step, id, t): points of time (subject, id, t) within steps, both ends included."""
+    spread = steps.selectExpr("subject", "chain", "step", "start_ts", "end_ts", f"explode(sequence(start_ts DIV {bucket_s}, end_ts DIV {bucket_s})) AS b")
+    return points.selectExpr("subject", "id", "t", f"t DIV {bucket_s} AS b").join(spread, ["subject", "b"]).where("t BETWEEN start_ts AND end_ts").select("subject", "chain", "step", "id", "t")
+
+
+def inject(retrieved: DataFrame, queries: DataFrame, facts: DataFrame, *, least_hits: int = 2, most: int = 3, alike: float = 0.5, chars: int = 2000, encode=None) -> DataFrame:
+    """(query, entity, tier, t, fact): facts of the topics that retrieved episodes mention, for each query.
+
+    ``retrieved`` (query, subject, id, start_ts, text), ``queries`` (query, subject, text, until), ``facts`` (subject, entity, t, fact). A topic needs
+    ``least_hits`` retrieved episodes. Those that the query names come first, the ``most`` with most hits; what room they leave goes to
+    topics whose facts, joined in order of time up to so many characters, are as much ``alike`` the query. Facts after the query's time, or
+    within a minute of a retrieved episode's start, are left out.
+    """
+    from tidemark.functions.models import STAND_INS
+    from tidemark.functions.vectors import cosine
     from tidemark.operators.temporal import uncovered
 
-    strong = hits.join(retrieved.select("subject", "id").distinct(), ["subject", "id"]).groupBy("subject", "entity").agg(F.count("*").alias("n")).where(F.col("n") >= least_hits)
-    best = strong.selectExpr("*", "row_number() OVER (PARTITION BY subject ORDER BY n DESC, entity) AS k").where(f"k <= {most}").select("subject", "entity")
-    until = retrieved.groupBy("subject").agg(F.max("until").alias("until"))
-    seen = facts.join(best, ["subject", "entity"]).join(until, "subject").where("t <= until").withColumn("key", F.struct("subject", "entity", "t", "fact"))
-    left = uncovered(seen.selectExpr("key AS fact", "subject", "t").distinct(), covers)
+    encode = encode or STAND_INS.encode_text
+    topics = facts.select("subject", "entity").distinct()
+    texts = retrieved.select("subject", "id", "text").dropDuplicates(["subject", "id"])
+    hits = keyword_hits(topics, texts).join(retrieved.select("query", "subject", "id"), ["subject", "id"]).groupBy("query", "subject", "entity").agg(F.count("*").alias("n")).where(f"n >= {least_hits}")
+    named = keyword_hits(topics, queries.selectExpr("subject", "query AS id", "text")).selectExpr("subject", "entity", "id AS query", "1 AS named")
+    coarse = hits.join(named, ["query", "subject", "entity"], "left")
+    first = coarse.where("named = 1").selectExpr("*", "row_number() OVER (PARTITION BY query ORDER BY n DESC, entity) AS k").where(f"k <= {most}").selectExpr("query", "subject", "entity", "1 AS tier")
+    wanted = coarse.where("named IS NULL").select("query", "subject", "entity")
+    pool = facts.join(wanted.select("subject", "entity").distinct(), ["subject", "entity"], "left_semi")
+    told = pool.groupBy("subject", "entity").agg(F.expr("array_join(transform(array_sort(collect_list(struct(t, fact))), x -> x.fact), ' ')").alias("told"))
+    coded = told.selectExpr("subject", "entity", f"{encode(f'substr(told, 1, {chars})')} AS v")
+    asked = queries.selectExpr("query", f"{encode('text')} AS q")
+    scored = wanted.join(coded, ["subject", "entity"]).join(asked, "query").selectExpr("query", "subject", "entity", f"round({cosine('q', 'v')}, 9) AS score").where(f"score >= {alike}")
+    taken = first.groupBy("query").agg(F.count("*").alias("taken"))
+    second = scored.selectExpr("*", "row_number() OVER (PARTITION BY query ORDER BY score DESC, entity) AS k").join(taken, "query", "left").where(f"k <= {most} - coalesce(taken, 0)").selectExpr("query", "subject", "entity", "2 AS tier")
+    chosen = first.unionByName(second).join(queries.select("query", "until"), "query")
+    seen = facts.join(chosen, ["subject", "entity"]).where("t <= until").selectExpr("struct(query, entity, tier, t, fact) AS fact", "CAST(query AS string) AS subject", "t").distinct()
+    left = uncovered(seen, retrieved.selectExpr("CAST(query AS string) AS subject", "start_ts AS c"))
     return left.select("fact.*")
+
+
+def consolidate(facts: DataFrame, by: list[str], *, most: int = 20, alike: float = 0.6, encode=None, replaces=None) -> DataFrame:
+    """``facts`` (by, ts, idx, s, p, o) with ``gone``: the time of the update that removes each fact, or null if it stays.
+
+    Updates of one time are decided against what earlier times left: of the facts of the same ``by`` the ``most`` similar ones that are ``alike``
+    enough go to ``replaces(new, old)``, which says whether the new one takes the old one's place; the stand-in does so for the same subject and
+    predicate. What holds at a time t is then ``ts <= t AND (gone IS NULL OR gone > t)``. Rows of a key are folded in one pass over
+    sorted partitions; only what a key still holds stays in memory.
+    """
+    from tidemark.functions.models import STAND_INS
+
+    encode = encode or STAND_INS.encode_text
+    rule = replaces or (lambda new, old: new[0] == old[0] and new[1] == old[1])
+    names = [*by, "ts", "idx", "s", "p", "o"]
+    told = "concat_ws(' ', s, p, o)"
+    rows = facts.selectExpr(*names, f"{encode(told)} AS v").repartition(*by).sortWithinPartitions(*by, "ts", "idx")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in facts.select(*names).schema) + ", gone bigint"
+
+    def fold(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        key, now, held, waiting, out = None, None, [], [], []
+
+        def settle() -> None:
+            """Decides the updates of one time."""
+            nonlocal held, waiting
+            if held and waiting:
+                old, new = (np.array([x[1] for x in part]) for part in (held, waiting))
+                norms = np.linalg.norm(new, axis=1)[:, None] * np.linalg.norm(old, axis=1)[None, :]
+                score = np.round(np.divide(new @ old.T, norms, out=np.zeros_like(norms), where=norms > 0), 9)
+                removed = set()
+                for k, (row, _) in enumerate(waiting):
+                    for i in np.argsort(-score[k], kind="stable")[:most]:
+                        if score[k, i] >= alike and rule(row[-3:], held[i][0][-3:]):
+                            removed.add(int(i))
+                out.extend((*held[i][0], now) for i in removed)
+                held = [x for i, x in enumerate(held) if i not in removed]
+            held, waiting = held + waiting, []
+
+        def batch_of():
+            columns = list(zip(*out))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[*names, "gone"])
+
+        types = None
+        for batch in batches:
+            types = [batch.schema.field(n).type for n in names] + [pa.int64()]
+            for row in zip(*(batch.column(i).to_pylist() for i in range(len(names) + 1))):
+                k, ts = row[: len(by)], row[len(by)]
+                if k != key or ts != now:
+                    settle()
+                    if k != key:
+                        out.extend((*x[0], None) for x in held)
+                        held = []
+                    key, now = k, ts
+                waiting.append((row[:-1], row[-1]))
+            if len(out) >= 4096:
+                yield batch_of()
+                out.clear()
+        if types:
+            settle()
+            out.extend((*x[0], None) for x in held)
+        if out:
+            yield batch_of()
+
+    return rows.mapInArrow(fold, schema)

@@ -172,3 +172,11 @@ def quota_rank(scored: DataFrame, query: list[str], kind: str, quotas: dict[str,
     over = ", ".join(query)
     ranked = scored.selectExpr("*", f"row_number() OVER (PARTITION BY {over}, {kind} ORDER BY score DESC, id) AS kind_rank").where(f"kind_rank <= CASE {most} ELSE {top_k} END AND kind_rank <= {top_k}")
     return ranked.selectExpr("*", f"row_number() OVER (PARTITION BY {over} ORDER BY score DESC, id) AS rank").where(f"rank <= {top_k}")
+
+
+def interleave_by_time(parts: list[DataFrame], by: str) -> DataFrame:
+    """(by, item, pos): items (by, tm, late, item) of all parts in order of time within each group; those with ``late`` = 1 come last."""
+    rows = parts[0]
+    for more in parts[1:]:
+        rows = rows.unionByName(more)
+    return rows.selectExpr(by, "item", f"row_number() OVER (PARTITION BY {by} ORDER BY late, tm, item) AS pos")

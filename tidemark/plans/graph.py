@@ -333,22 +333,3 @@ def entity_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keyword_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captions that mention an entity as whole words."""
     return entity_hits(spark, sf_dir).groupBy("subject", "entity").agg(F.count("*").alias("captions"))
-
-
-@registry.add("chain_facts", f"WITH {_HITS}, ret AS (SELECT subject, id, end_ts FROM caps WHERE granularity = '30sec' QUALIFY row_number() OVER (PARTITION BY subject ORDER BY end_ts DESC, id) <= 40), n AS (SELECT h.subject, entity, count(*) AS n FROM hits h JOIN ret ON ret.subject = h.subject AND ret.id = h.id GROUP BY ALL HAVING count(*) >= 2), best AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY subject ORDER BY n DESC, entity) <= 3), u AS (SELECT subject, max(end_ts) AS until FROM ret GROUP BY subject), f AS (SELECT subject, s AS entity, (resp_id * 37) % 600000 AS t, s || ' ' || p || ' ' || o AS fact FROM tri WHERE subject IS NOT NULL), k AS (SELECT DISTINCT f.subject, f.entity, f.t, f.fact FROM f JOIN best b ON b.subject = f.subject AND b.entity = f.entity JOIN u ON u.subject = f.subject WHERE f.t <= until) SELECT subject, entity, CAST(t AS BIGINT) AS t, fact FROM k WHERE NOT EXISTS (SELECT 1 FROM caps c WHERE c.granularity = '3min' AND c.subject = k.subject AND abs(c.start_ts - k.t) <= 60)")
-def chain_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts of the entities that the latest captions mention, unless a caption covers them."""
-    caps = captions(spark, sf_dir)
-    latest = caps.where("granularity = '30sec'").selectExpr("subject", "id", "end_ts AS until", "row_number() OVER (PARTITION BY subject ORDER BY end_ts DESC, id) AS k").where("k <= 40")
-    facts = triples(spark, sf_dir).where("subject IS NOT NULL").selectExpr("subject", "s AS entity", "resp_id * 37 % 600000 AS t", "concat_ws(' ', s, p, o) AS fact")
-    return C.chain_facts(latest, entity_hits(spark, sf_dir), facts, caps.where("granularity = '3min'").selectExpr("subject", "start_ts AS c"), 2, 3).select("subject", "entity", "t", "fact")
-
-
-@registry.add("consolidated_facts", f"WITH {RECS} SELECT subject, s, p, o FROM tri WHERE subject IS NOT NULL QUALIFY row_number() OVER (PARTITION BY subject, s, p ORDER BY created_at DESC, resp_id DESC, o DESC) = 1")
-def consolidated_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The state after all updates, where a later triple takes the place of one with the same subject and predicate.
-
-    The fold over time has a closed form, the last of each key, which aggregates before it shuffles.
-    """
-    t = triples(spark, sf_dir).where("subject IS NOT NULL")
-    return t.groupBy("subject", "s", "p").agg(F.max_by("o", F.struct("created_at", "resp_id", "o")).alias("o"))
