@@ -23,17 +23,28 @@ def interleave_cycle(rows: DataFrame, source: str, order: str, stop: str = "firs
 
 
 def stratified(rows: DataFrame, stratum: str, key: str, total: int, seed: int) -> DataFrame:
-    """ceil(total / strata) rows of each stratum, small strata whole, and others by hash to make up the total."""
-    strata = rows.groupBy(stratum).agg(F.count("*").alias("n")).agg(F.count("*").alias("strata"))
-    drawn = rows.withColumn("__h", F.xxhash64(F.col(key), F.lit(seed))).selectExpr("*", f"row_number() OVER (PARTITION BY {stratum} ORDER BY __h, {key}) AS __r").join(F.broadcast(strata))
-    ranked = drawn.selectExpr("*", f"CASE WHEN __r <= ceil({total} / strata) THEN 0 ELSE 1 END AS __extra")
+    """ceil(total / strata) rows of each stratum, strata by ascending size and small ones whole, and others by hash to make up the total."""
+    sizes = rows.groupBy(stratum).agg(F.count("*").alias("__n"))
+    per = f"CAST(ceil({total} / __strata) AS bigint)"
+    bounds = sizes.join(F.broadcast(sizes.agg(F.count("*").alias("__strata"))))  # one row
+    plan = bounds.selectExpr(stratum, f"{per} AS __per", f"coalesce(sum(least(__n, {per})) OVER (ORDER BY __n, {stratum} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS __before")
+    code = f"CAST(conv(substr(md5(concat({key}, ':{seed}')), 1, 12), 16, 10) AS bigint)"
+    drawn = rows.join(plan, stratum).withColumn("__h", F.expr(code)).selectExpr("*", f"row_number() OVER (PARTITION BY {stratum} ORDER BY __h, {key}) AS __r")
+    # a stratum's own share first, as long as the total has room for it; what is missing comes from all other rows
+    ranked = drawn.withColumn("__extra", F.expr(f"CASE WHEN __r <= __per AND __before + __r <= {total} THEN 0 ELSE 1 END"))
     return ranked.orderBy("__extra", "__h", key).limit(total).select(*rows.columns)
 
 
-def hard_negatives(rows: DataFrame, margin: float, ratio: float) -> DataFrame:
-    """Negatives (arrays ``neg``, ``neg_score``) below the positive's score by a margin and a ratio, and not the positive."""
-    kept = f"filter(arrays_zip(neg, neg_score), x -> x.neg_score < pos_score - {margin} AND x.neg_score < pos_score * {ratio} AND x.neg <> pos)"
-    return rows.withColumn("kept", F.expr(f"transform({kept}, x -> x.neg)"))
+def hard_negatives(rows: DataFrame, margin: float | None = None, ratio: float | None = None, threshold: float | None = None, excluded: str | None = None, ranks: tuple[int, int] | None = None) -> DataFrame:
+    """Adds ``kept``: of the negatives (arrays ``neg``, ``neg_score``, best first) those that pass all that is asked.
+
+    Below a threshold; below ``pos_score`` by a margin, by a ratio; not among the ``excluded`` (SQL, an array); of these the range of
+    ranks, from 1, both ends included.
+    """
+    tests = [f"x.neg_score < {t}" for t in (threshold,) if t is not None] + [f"x.neg_score < pos_score - {m}" for m in (margin,) if m is not None] + [f"x.neg_score < pos_score * {r}" for r in (ratio,) if r is not None]
+    tests += [f"NOT array_contains({excluded}, x.neg)"] if excluded else []
+    kept = f"transform(filter(arrays_zip(neg, neg_score), x -> {' AND '.join(tests) or 'true'}), x -> x.neg)"
+    return rows.withColumn("kept", F.expr(f"slice({kept}, {ranks[0]}, {ranks[1] - ranks[0] + 1})" if ranks else kept))
 
 
 def contrastive_loss(pairs: DataFrame, by: list[str], temperature: float) -> DataFrame:

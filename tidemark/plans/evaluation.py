@@ -275,7 +275,7 @@ def near_duplicate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@registry.add("stratified_sample")
+@registry.add("stratified_sample", "WITH z AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label), pl AS (SELECT label, CAST(ceil(100.0 / count(*) OVER ()) AS BIGINT) AS per, n FROM z), pb AS (SELECT label, per, coalesce(sum(least(n, per)) OVER (ORDER BY n, label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM pl), d AS (SELECT e.vec_id, e.label, per, before, CAST(concat('0x', md5(CAST(vec_id AS VARCHAR) || ':7')[1:12]) AS BIGINT) AS h FROM embeddings e JOIN pb ON pb.label = e.label), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY h, vec_id) AS r FROM d) SELECT vec_id, label FROM (SELECT * FROM r ORDER BY CASE WHEN r <= per AND before + r <= 100 THEN 0 ELSE 1 END, h, vec_id LIMIT 100)")
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K5: 100 vectors over all labels alike."""
     return P.stratified(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "label", "vec_id", 100, 7)
