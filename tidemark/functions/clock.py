@@ -65,3 +65,43 @@ def is_date_sql(y: str, m: str, d: str) -> str:
     """Whether the calendar has this day (SQL text)."""
     leap = f"(({y} % 4 = 0 AND {y} % 100 <> 0) OR {y} % 400 = 0)"
     return f"({y} >= 1 AND {m} BETWEEN 1 AND 12 AND {d} >= 1 AND {d} <= CASE WHEN {m} = 2 THEN CASE WHEN {leap} THEN 29 ELSE 28 END WHEN {m} IN (4, 6, 9, 11) THEN 30 ELSE 31 END)"
+
+
+def digits_seconds_sql(c: str) -> str:
+    """Second of the day of ``HHMMSSFF`` as a number or text (SQL text), without a check."""
+    t = f"lpad(CAST({c} AS string), 8, '0')"
+    return f"(CAST(substr({t}, 1, 2) AS bigint) * 3600 + CAST(substr({t}, 3, 2) AS bigint) * 60 + CAST(substr({t}, 5, 2) AS bigint))"
+
+
+def seconds_digits_sql(s: str) -> str:
+    """``HHMMSSFF`` of a second of the day (SQL text); the frame is 0."""
+    two_ = lambda x: f"lpad(CAST({x} AS string), 2, '0')"
+    return f"concat({two_(f'{s} DIV 3600')}, {two_(f'{s} DIV 60 % 60')}, {two_(f'{s} % 60')}, '00')"
+
+
+def frame_sql(c: str, fps: int = 20) -> str:
+    """Number of the frame that ``HHMMSSFF`` names (SQL text)."""
+    return f"({digits_seconds_sql(c)} * {fps} + CAST(substr(lpad(CAST({c} AS string), 8, '0'), 7, 2) AS bigint))"
+
+
+def clock_text_sql(c: str) -> str:
+    """Seconds of ``HH:MM`` or ``HH:MM:SS`` (SQL text); NULL for anything else."""
+    g = lambda k: f"CAST(regexp_extract({c}, '^([0-9]{{1,2}}):([0-9]{{2}})(?::([0-9]{{2}}))?$', {k}) AS bigint)"
+    return f"CASE WHEN {c} RLIKE '^[0-9]{{1,2}}:[0-9]{{2}}(:[0-9]{{2}})?$' THEN {g(1)} * 3600 + {g(2)} * 60 + coalesce(try_cast(regexp_extract({c}, '^([0-9]{{1,2}}):([0-9]{{2}})(?::([0-9]{{2}}))?$', 3) AS bigint), 0L) END"
+
+
+#: A moment as DAYn HH:MM:SS within a text.
+MOMENT = "(?i)DAY\\\\s*([0-9]+)\\\\s+([0-9]{1,2}):([0-9]{2}):([0-9]{2})"
+
+
+def is_time_range_sql(text: str) -> str:
+    """Whether a text asks for a range of time (SQL text)."""
+    one = "DAY\\\\s*[0-9]+\\\\s+[0-9]{1,2}:[0-9]{2}:[0-9]{2}"
+    return f"{text} RLIKE '(?i){one}\\\\s*-\\\\s*{one}'"
+
+
+def time_range_sql(text: str) -> str:
+    """Both ends of the range that a text names, as stamps ``DHHMMSS00`` (SQL text, an array); NULL with fewer than two moments."""
+    g = lambda k: f"regexp_extract_all({text}, '{MOMENT}', {k})"
+    stamp = lambda i: f"CAST(concat({g(1)}[{i}], lpad({g(2)}[{i}], 2, '0'), {g(3)}[{i}], {g(4)}[{i}], '00') AS bigint)"
+    return f"CASE WHEN size({g(1)}) >= 2 THEN array({stamp(0)}, {stamp(1)}) END"

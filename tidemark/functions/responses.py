@@ -90,3 +90,26 @@ def decision(text: str) -> str:
     """(decision, content) of a response with a JSON object; anything else is an answer (SQL text, a struct)."""
     parsed = f"from_json(regexp_extract({text}, '(?s)([{{].*[}}])', 1), 'decision string, content string')"
     return f"named_struct('decision', coalesce({parsed}.decision, 'answer'), 'content', coalesce({parsed}.content, {text}))"
+
+
+def evidence(text: str) -> str:
+    """(status, information) of a response that offers evidence or does not (SQL text, a struct)."""
+    found = f"nullif(trim(regexp_extract({text}, 'I can provide evidence[.] Evidence: (.+)', 1)), '')"
+    ok = f"(NOT contains({text}, 'I can\\'t provide evidence.') AND {found} IS NOT NULL)"
+    return f"named_struct('status', {ok}, 'information', CASE WHEN {ok} THEN {found} END)"
+
+
+def merged_text(seen: str, said: str, both: str | None = None) -> str:
+    """Text of a segment from what is seen and what is said; ``both`` is a model's merger, without which the speech stands in brackets behind."""
+    a, b = f"trim(coalesce({seen}, ''))", f"trim(coalesce({said}, ''))"
+    joined = f"coalesce(nullif(trim({both}), ''), {a})" if both else f"concat({a}, ' [Speech: ', {b}, ']')"
+    return f"CASE WHEN {b} = '' THEN {a} WHEN {a} = '' THEN concat('[Speech] ', {b}) ELSE {joined} END"
+
+
+@F.pandas_udf(StringType())
+def closest(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Of a list of texts the one most like a text, by matching blocks; the first of equals, null for an empty list."""
+    import difflib
+
+    for asked, options in batches:
+        yield pd.Series([(difflib.get_close_matches(a, list(o), n=1, cutoff=0.0) or [None])[0] if a is not None and o is not None and len(o) else None for a, o in zip(asked, options)], dtype=object)

@@ -180,3 +180,17 @@ def interleave_by_time(parts: list[DataFrame], by: str) -> DataFrame:
     for more in parts[1:]:
         rows = rows.unionByName(more)
     return rows.selectExpr(by, "item", f"row_number() OVER (PARTITION BY {by} ORDER BY late, tm, item) AS pos")
+
+
+def first_id(segments: DataFrame, moments: DataFrame, bucket_s: int = 3600) -> DataFrame:
+    """(moment, id) of the first segment that holds each moment, both ends included; moments that none holds are left out."""
+    seg = segments.selectExpr("subject", "id", "start_ts", "end_ts", f"explode(sequence(floor(start_ts / {bucket_s}), floor(end_ts / {bucket_s}))) AS b")
+    hit = moments.selectExpr("moment", "subject", "t", f"floor(t / {bucket_s}) AS b").join(seg, ["subject", "b"]).where("t BETWEEN start_ts AND end_ts")
+    return hit.groupBy("moment").agg(F.min_by("id", F.struct("start_ts", "id")).alias("id"))
+
+
+def proportional_sample(rows: DataFrame, keys: list[str], order: list[str], ratio: float) -> DataFrame:
+    """A share of each key's rows at equal steps from first to last, one row at least."""
+    numbered = slices.numbered(rows, keys, order, DAY, count="cnt").selectExpr("*", "rn - 1 AS __i", f"greatest(1L, CAST(floor(cnt * {ratio}D) AS bigint)) AS __m")
+    step = "(__i * (__m - 1) + cnt - 2) DIV (cnt - 1)"
+    return numbered.where(f"(__m = 1 AND __i = 0) OR (__m > 1 AND ({step}) <= __m - 1 AND ({step}) * (cnt - 1) DIV (__m - 1) = __i)").drop("cnt", "__i", "__m")

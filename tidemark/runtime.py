@@ -57,3 +57,11 @@ def ship(spark: SparkSession) -> None:
     path.write_bytes(packed.getvalue())
     context.addPyFile(str(path))
     context._tidemark_shipped = True
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder for a table of one run, below the shared checkpoint folder."""
+    import uuid
+
+    _checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"

@@ -56,3 +56,50 @@ def triples_of(records: DataFrame) -> DataFrame:
     """(resp_id, chunk_id, subject, created_at, s, p, o): each valid triple of a record once."""
     rows = records.select("resp_id", "chunk_id", "subject", "created_at", F.expr("explode(array_distinct(filter(triples, t -> size(t) = 3))) AS t"))
     return rows.selectExpr("resp_id", "chunk_id", "subject", "created_at", "t[0] AS s", "t[1] AS p", "t[2] AS o")
+
+
+def read_union(spark: SparkSession, parts: dict[str, str], schema: str | None = None, tag: str = "_split") -> DataFrame:
+    """Rows of all parts that exist, each with its tag; missing ones are skipped. A path ends in .json (an array of objects) or is parquet."""
+    out = None
+    for name, path in parts.items():
+        if not exists(spark, path):
+            continue
+        rows = spark.read.schema(schema).json(path, multiLine=True) if path.endswith(".json") and schema else spark.read.json(path, multiLine=True) if path.endswith(".json") else spark.read.parquet(path)
+        part = rows.withColumn(tag, F.lit(name))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        raise FileNotFoundError(f"none of {sorted(parts.values())}")
+    return out
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def read_openie(spark: SparkSession, path: str) -> DataFrame:
+    """(chunk, entities, triples) of a JSON cache with the maps ner_results and triple_results."""
+    text = spark.read.text(path, wholetext=True)
+    maps = text.select(F.from_json("value", "ner_results map<string, array<string>>, triple_results map<string, array<array<string>>>").alias("m")).select("m.*")
+    names, facts = maps.select(F.explode("ner_results").alias("chunk", "entities")), maps.select(F.explode("triple_results").alias("chunk", "triples"))
+    return names.join(facts, "chunk", "full")
+
+
+def rekeyed(passages: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(have, missing): passages (text) keyed by the MD5 of their text, with what a cache (chunk, ...) knows of them, and those it lacks."""
+    keyed = passages.select(F.concat(F.lit("chunk-"), F.md5("text")).alias("chunk"), "text").dropDuplicates(["chunk"])
+    return keyed.join(cache, "chunk"), keyed.join(cache.select("chunk"), "chunk", "left_anti")
+
+
+def write_subtitles(rows: DataFrame, path: str) -> None:
+    """Subtitle files, one below ``path/key=...`` for each key: (key, start_s, end_s, text) numbered and timed."""
+    srt_blocks(rows).select("key", "block").repartition("key").sortWithinPartitions("key", "block").select("block", "key").write.mode("overwrite").partitionBy("key").text(path)
+
+
+def srt_blocks(rows: DataFrame) -> DataFrame:
+    """(key, n, block): numbered subtitle blocks of segments (key, start_s, end_s, text) with text."""
+    from tidemark.functions.media import srt_time
+    from tidemark.operators.slices import numbered
+
+    told = numbered(rows.where("trim(text) <> ''"), ["key"], ["start_s", "end_s", "text"], "start_s DIV 3600", "n")
+    return told.selectExpr("key", "n", f"concat(n, '\\n', {srt_time('start_s')}, ' --> ', {srt_time('end_s')}, '\\n', trim(text), '\\n') AS block")
