@@ -194,6 +194,9 @@ PAIRS = [
     ("Qui a aidé Ann à tout porter ?", "Question : Qui a aidé Ann à tout porter ?", "copy"), ("Who helped Ann carry the red box?", "Das war Tovik, obwohl die Treppe sehr eng war.", "language"),
     ("谁帮老邓搬了螺丝刀？", "是凯图帮的忙，虽然楼梯很窄。", None), ("谁帮老邓搬了螺丝刀？", "C'était Tovik, même si l'escalier était très étroit.", "language"), ("Who helped Ann carry the red box?", "(B)", None),
     ("Where is it?", "Ann cannot remember, but the captions show it on the balcony at 09:52.", None), (None, "The red box was on the table.", None),
+    ("Who helped Ann carry the red box?", "I'd rather skip that one.", "refusal"), ("Who helped Ann carry the red box?", "That falls outside what I'm comfortable discussing.", "refusal"),
+    ("谁帮老邓搬了螺丝刀？", "それはトヴィクさんが手伝いました。", "language"), ("Who helped Ann carry the red box?", "Это был Товик, хотя лестница была узкой.", "language"),
+    ("Who helped Ann carry the red box?", "Tovik ha aiutato perché la scala era troppo stretta per una persona.", "language"), ("Wer hat Ann beim Tragen geholfen?", "Das war Tovik, obwohl die Treppe sehr eng war.", None),
 ]
 
 
@@ -208,6 +211,21 @@ def test_defects(spark):
     assert pair_defects.defect_posteriors(df.limit(0), "pair_id", "question", "response").count() == 0
 
 
+def test_label_model_takes_abstention_for_nothing():
+    patterns = np.array([[1, 1, 0], [1, 0, 0], [0, 0, 0], [-1, -1, 0], [-1, 0, -1], [0, 1, 1]])
+    model = pair_defects.label_model(patterns, np.array([40.0, 20, 300, 2000, 900, 15]))
+    post = model.posterior(patterns)
+    assert (post[[0, 1, 5]] > 0.9).all() and (post[[3, 4]] < 0.01).all() and abs(post[2] - model.prior) < 1e-6 and 0.01 < model.prior < 0.1
+
+
+def test_cutoffs_tell_planted_defects():
+    pairs = [(f"Where did Ann leave box {k}?", f"Ann left box {k} at the long table, next to a bag.") for k in range(60)] + [(f"Wo hat Ann die Kiste {k} gelassen?", f"Die Kiste {k} steht noch auf dem Tisch, und sie ist offen.") for k in range(60)]
+    made = pair_defects.planted(pairs)
+    assert {d for *_, d in made} == {"empty", "copy", "truncated", "language"}
+    votes = {d: np.array([pair_defects.votes(q, r)[d] for q, r, x in made if x == d]) for d in ("empty", "copy", "language")}
+    assert all((v.max(1) == 1).mean() > 0.95 for v in votes.values())
+
+
 def test_long_response_is_read_whole():
     q = "Where did Ann leave the box?"
     text = "Ann left it at the long table. " * 20_000

@@ -12,7 +12,7 @@ from tidemark.llm.mixing import mix_copies, mix_report
 from tidemark.llm.nearest_time import nearest_in_time
 from tidemark.llm.neighbours import nearest_vectors
 from tidemark.llm.packing import pack
-from tidemark.llm.pair_defects import CUTOFF, best_defect, defect_posteriors
+from tidemark.llm.pair_defects import best_defect, defect_posteriors
 from tidemark.llm.record_hash import collapse_records, readable_records
 from tidemark.llm.tokens import token_counts
 from tidemark.registry import Registry
@@ -157,8 +157,8 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add("p7_labels")
 def p7_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every defect whose posterior reaches the cutoff; a pair may have several."""
-    return answer_posteriors(spark, sf_dir).where(F.col("posterior") >= CUTOFF).selectExpr("pair_id", "defect", "round(posterior, 4) AS posterior")
+    """Every defect whose posterior reaches its validated cutoff; a pair may have several."""
+    return answer_posteriors(spark, sf_dir).where("posterior >= cutoff").selectExpr("pair_id", "defect", "round(posterior, 4) AS posterior")
 
 
 def packed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
