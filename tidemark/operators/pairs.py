@@ -173,7 +173,8 @@ def negatives_of_labels(rows: DataFrame, label: str, key: str, text: str, m: int
     """``rows`` with ``neg``: m texts of other labels for each row, drawn by hash.
 
     First a pool of ``m`` texts of every label and slot is drawn by hash; a row takes the texts of its slot that have another label, those
-    first whose hash with the row's is smallest. So a label that holds a third of all rows is never gathered.
+    first whose hash with the row's is smallest. So a label that holds a third of all rows is never gathered; a row whose slot
+    has fewer than ``m`` texts of other labels gets those.
     """
     code = f"{_code(f'CAST({key} AS string)')} % {slots}"
     pool = rows.selectExpr(f"{label} AS __l", f"{text} AS __t", f"CAST({key} AS string) AS __k", f"{code} AS slot").withColumn("h", F.expr(_code(f"concat(__k, ':{seed}')"))).selectExpr("*", "row_number() OVER (PARTITION BY slot, __l ORDER BY h, __k) AS r").where(f"r <= {m}")
