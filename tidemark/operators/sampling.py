@@ -38,11 +38,12 @@ def stratified(rows: DataFrame, stratum: str, key: str, total: int, seed: int) -
 def hard_negatives(rows: DataFrame, margin: float | None = None, ratio: float | None = None, threshold: float | None = None, excluded: str | None = None, ranks: tuple[int, int] | None = None) -> DataFrame:
     """Adds ``kept``: of the negatives (arrays ``neg``, ``neg_score``, best first) those that pass all that is asked.
 
-    Below a threshold; below ``pos_score`` by a margin, by a ratio; not among the ``excluded`` (SQL, an array); of these the range of
-    ranks, from 1, both ends included.
+    Below a threshold; below ``pos_score`` by a margin, by a ratio; not among the ``excluded`` (SQL, an array); not the positive ``pos``, if there is
+    that column; of these the range of ranks, from 1, both ends included.
     """
     tests = [f"x.neg_score < {t}" for t in (threshold,) if t is not None] + [f"x.neg_score < pos_score - {m}" for m in (margin,) if m is not None] + [f"x.neg_score < pos_score * {r}" for r in (ratio,) if r is not None]
     tests += [f"NOT array_contains({excluded}, x.neg)"] if excluded else []
+    tests += ["x.neg <> pos"] if "pos" in rows.columns else []
     kept = f"transform(filter(arrays_zip(neg, neg_score), x -> {' AND '.join(tests) or 'true'}), x -> x.neg)"
     return rows.withColumn("kept", F.expr(f"slice({kept}, {ranks[0]}, {ranks[1] - ranks[0] + 1})" if ranks else kept))
 
