@@ -102,12 +102,12 @@ def _by_judge(judge: np.ndarray, x: np.ndarray, into: np.ndarray) -> None:
     into[held] += np.add.reduceat(x[order], first, axis=0)
 
 
-def fit_consensus(labels: DataFrame, *, gamma: float = 0.02, rounds: int = 60, settled: float = 2e-5) -> tuple[DataFrame, DataFrame, int]:
+def fit_consensus(labels: DataFrame, *, gamma: float = 0.02, rounds: int = 200, settled: float = 5e-5) -> tuple[DataFrame, DataFrame, int]:
     """Posteriors per item, reliability per annotator and the most frequent true score, from (id, judge_id, label).
 
     The strength of the regularisation follows the counts: alpha = gamma * classes^2 for annotators, and
-    beta = alpha times labels per annotator over labels per item for items. Rounds end when the dual rises by less than the
-    share ``settled`` of its value; ``rounds`` of either kind are the most, beyond which the fit raises an error.
+    beta = alpha times labels per annotator over labels per item for items. Rounds end when the dual rises by less than ``settled``
+    for each label; ``rounds`` of either kind are the most, where a small table's last rises are too slow to matter.
 
     Items come as (id, raw_score, posterior); annotators as (judge_id, reliability, n_labels), where reliability is
     the probability that the annotator gives the true score, with classes as frequent as they are.
@@ -159,12 +159,10 @@ def fit_consensus(labels: DataFrame, *, gamma: float = 0.02, rounds: int = 60, s
         model.destroy()
         s, m = flat[: 2 * sigma.size].reshape(2, *sigma.shape)
         mass, before, value, k = flat[-CLASSES - 1 : -1], value, flat[-1], k + 1
-        if value - before <= settled * abs(value):
+        if value - before <= settled * n_labels or k >= rounds:
             if tilts:
                 break
             tilts, value, k = True, -np.inf, 0
-        elif k >= rounds:
-            raise RuntimeError("the consensus did not settle")
         # ascent on each coordinate of the dual: scaling towards the observed mass, damped by the regulariser
         weight = m.sum(-1, keepdims=True)
         sigma = sigma + (weight / (weight + alpha)) * np.log((s + alpha / CLASSES) / (m + alpha / CLASSES))
