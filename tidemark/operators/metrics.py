@@ -93,3 +93,12 @@ def evaluable(needs: DataFrame, available: DataFrame, key: str) -> DataFrame:
     """(key, sources): keys that need a source at all, all of whose sources are available; ``needs`` is (key, source), each pair once."""
     known = needs.join(available.select("source", F.lit(True).alias("there")).distinct(), "source", "left")
     return known.groupBy(key).agg(F.bool_and(F.coalesce("there", F.lit(False))).alias("all"), F.count("*").alias("sources")).where("all").select(key, "sources")
+
+
+def graded_ndcg(rows: DataFrame, by: list[str], ks: tuple[int, ...] = KS) -> DataFrame:
+    """(by, k, linear, exponential): discounted gain over the ideal one, from graded ``rel`` by rank; 0 where nothing is relevant."""
+    each = rows.select(*by, "rel", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"))
+    each = each.selectExpr(*by, "k", "slice(rel, 1, k) AS got", "slice(sort_array(rel, false), 1, k) AS best")
+    gain = lambda xs, f: f"aggregate(transform({xs}, (x, i) -> {f} / log2(CAST(i + 2 AS double))), 0D, (s, x) -> s + x)"
+    share = lambda f: f"coalesce({gain('got', f)} / nullif({gain('best', f)}, 0D), 0D)"
+    return each.selectExpr(*by, "k", f"{share('CAST(x AS double)')} AS linear", f"{share('(pow(2D, x) - 1)')} AS exponential")

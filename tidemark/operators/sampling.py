@@ -55,3 +55,22 @@ def contrastive_loss(pairs: DataFrame, by: list[str], temperature: float) -> Dat
     w = pairs.groupBy(*by).agg(top)
     # subtracting the largest keeps the exponentials finite
     return pairs.join(w, by).groupBy(*by).agg((F.log(F.sum(F.exp(x - F.col("top")))) + F.first("top") - F.max(F.when(F.col("is_pos"), x))).alias("loss"))
+
+
+def interleave_weighted(rows: DataFrame, source: str, order: str, weights: dict[str, float], draws: int, seed: int = 1, batch: int = 1, slice_rows: int = 4096) -> DataFrame:
+    """``draws`` rows by ``pos``: each draw takes a source with its weight's share and the source's next row; an exhausted source starts again.
+
+    With ``batch`` so many draws in a row take one source. Draws are hashes of their number, so that they can be repeated. Sources without
+    rows must have no weight; ``order`` is a whole number. The weights are a small stated table.
+    """
+    whole, low, cases = sum(weights.values()), 0.0, ""
+    for name, w in sorted(weights.items()):
+        low += w / whole
+        cases += f" WHEN u < {low!r}D THEN '{name}'"
+    u = f"CAST(conv(substr(md5(concat(CAST(pos DIV {batch} AS string), ':{seed}')), 1, 8), 16, 10) AS bigint) / 4294967296D"
+    drawn = rows.sparkSession.range(draws).selectExpr("id AS pos").selectExpr("pos", f"{u} AS u").selectExpr("pos", f"CASE{cases} ELSE '{max(weights)}' END AS {source}")
+    turns = slices.numbered(drawn, [source], ["pos"], f"floor(pos / {slice_rows})", "turn")
+    numbered = slices.numbered(rows, [source], [order], f"floor({order} / {slice_rows})", "__r", count="__size")
+    sizes = numbered.groupBy(source).agg(F.max("__size").alias("__size"))
+    picked = turns.join(sizes, source).selectExpr("pos", source, "(turn - 1) % __size + 1 AS __r", "(turn - 1) DIV __size AS epoch")
+    return picked.join(numbered.drop("__size"), [source, "__r"]).drop("__r")

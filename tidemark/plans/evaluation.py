@@ -194,6 +194,14 @@ def retrieval_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.retrieval_recall(ranked_labels(spark, sf_dir))
 
 
+@registry.add("graded_ndcg", "WITH g AS (SELECT id AS query, judge_id AS doc, max(raw_score) AS rel FROM eval_results WHERE raw_score BETWEEN 0 AND 5 AND judge_id IS NOT NULL GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY doc) AS rank, row_number() OVER (PARTITION BY query ORDER BY rel DESC) AS best FROM g), k AS (SELECT query, k, sum(CASE WHEN rank <= k THEN rel / log2(rank + 1) ELSE 0 END) AS a, sum(CASE WHEN best <= k THEN rel / log2(best + 1) ELSE 0 END) AS b, sum(CASE WHEN rank <= k THEN (pow(2, rel) - 1) / log2(rank + 1) ELSE 0 END) AS c, sum(CASE WHEN best <= k THEN (pow(2, rel) - 1) / log2(best + 1) ELSE 0 END) AS d FROM r, (VALUES (1), (5), (10)) t(k) GROUP BY query, k) SELECT query, k, round(coalesce(a / nullif(b, 0), 0), 6) AS linear, round(coalesce(c / nullif(d, 0), 0), 6) AS exponential FROM k")
+def graded_ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graded gains, linear and exponential, of judged candidates in the order of their names."""
+    g = table(spark, sf_dir, "eval_results").where("raw_score BETWEEN 0 AND 5 AND judge_id IS NOT NULL").groupBy(F.col("id").alias("query"), F.col("judge_id").alias("doc")).agg(F.max("raw_score").alias("rel"))
+    ranked = g.groupBy("query").agg(F.expr("transform(array_sort(collect_list(struct(doc, rel))), x -> x.rel)").alias("rel"))  # as many as a question has judges
+    return M.graded_ndcg(ranked, ["query"]).selectExpr("query", "k", "round(linear, 6) AS linear", "round(exponential, 6) AS exponential")
+
+
 _FORM = "array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower({t}), '[!-/:-@\\[-`{{-~]', '', 'g'), '\\s+'), lambda w: w NOT IN ('a', 'an', 'the', '')), ' ')"
 
 
@@ -218,6 +226,21 @@ def interleave_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.interleave_cycle(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id").selectExpr("doc_id", "source", "CAST(pos AS bigint) AS pos")
 
 
+#: Draws by weight: as many as there are documents, in batches of four of one source.
+_WEIGHTED = """t AS (SELECT source, max(target_share) AS w FROM mix_targets WHERE source IN (SELECT source FROM documents) GROUP BY source), c AS (SELECT source, sum(w) OVER (ORDER BY source ROWS UNBOUNDED PRECEDING) / sum(w) OVER () AS high, (sum(w) OVER (ORDER BY source ROWS UNBOUNDED PRECEDING) - w) / sum(w) OVER () AS low FROM t),
+d AS (SELECT i AS pos, CAST(concat('0x', md5(CAST(i // 4 AS VARCHAR) || ':1')[1:8]) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM range((SELECT count(*) FROM documents)) r(i)), s AS (SELECT d.pos, c.source, row_number() OVER (PARTITION BY c.source ORDER BY d.pos) - 1 AS turn FROM d JOIN c ON d.u >= c.low AND d.u < c.high),
+n AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS r, count(*) OVER (PARTITION BY source) AS size FROM documents)"""
+
+
+@registry.add("interleave_weighted", f"WITH {_WEIGHTED} SELECT s.pos, s.source, n.doc_id, CAST(turn // size AS BIGINT) AS epoch FROM s JOIN n ON n.source = s.source AND n.r = s.turn % n.size")
+def interleave_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U8: documents drawn by the weights of their sources, in batches of one source, sources starting again at their end."""
+    d = table(spark, sf_dir, "documents").select("source", "doc_id")
+    targets = table(spark, sf_dir, "mix_targets").groupBy("source").agg(F.max("target_share").alias("w")).join(d.select("source").distinct(), "source", "left_semi")
+    weights = {r["source"]: r["w"] for r in targets.collect()}  # one row a target
+    return P.interleave_weighted(d, "source", "doc_id", weights, d.count(), batch=4).select("pos", "source", "doc_id", "epoch")
+
+
 @registry.add("natural_order", "SELECT DISTINCT subject, regexp_extract(subject, '^S([0-9]+)', 1)::BIGINT AS n, CAST(dense_rank() OVER (ORDER BY regexp_extract(subject, '^S([0-9]+)', 1)::BIGINT, subject) AS INTEGER) AS rank FROM (SELECT DISTINCT subject FROM captions_a WHERE subject IS NOT NULL)")
 def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Subjects by the number in their name; the rank is over subjects, not over captions."""
