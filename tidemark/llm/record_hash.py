@@ -53,8 +53,10 @@ def collapse_records(records: DataFrame) -> DataFrame:
     """
     made = cut(record_digests(records).withColumn("shape", F.encode("shape", "utf-8")))
     # groups by digest; all structures of a group are one if its smallest and its largest are
-    groups = made.groupBy("root").agg(F.min("resp_id").alias("keep_id"), F.min("shape").alias("low"), F.max("shape").alias("high")).selectExpr("root", "keep_id", "low <> high AS mixed")
+    groups = cut(made.groupBy("root").agg(F.min("resp_id").alias("keep_id"), F.min("shape").alias("low"), F.max("shape").alias("high")).selectExpr("root", "keep_id", "low <> high AS mixed"))
     placed = made.select("root", "resp_id").distinct().join(groups, "root")
+    if not groups.where("mixed").head(1):
+        return placed.select("resp_id", "keep_id")
     # different structures under one digest: these groups are made by structure
     mixed = made.join(groups.where("mixed").select("root"), "root", "left_semi")
     apart = mixed.join(mixed.groupBy("root", "shape").agg(F.min("resp_id").alias("keep_id")), ["root", "shape"]).select("resp_id", "keep_id").distinct()
