@@ -56,3 +56,13 @@ def test_hyphen_space_and_joined_spellings(spark):
     assert hits == brute(["camera-strap", "camera strap", "camerastrap"], texts)
     assert {k for e, k in hits if e == "camera-strap"} == {k for e, k in hits if e == "camera strap"} == {0, 1, 2, 3, 6}
     assert {k for e, k in hits if e == "camerastrap"} == {2, 3}
+
+
+def test_captions_move_once_and_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(chains, "GROUP", 4)
+    assert found(spark, NAMES, TEXTS) == brute(NAMES, TEXTS)
+    entities, captions = (spark.createDataFrame([("s", x)] * 2, f"subject string, {c} string") for x, c in (("kettle", "entity"), ("the kettle", "text")))
+    hits = chains.keyword_hits(entities, captions.selectExpr("*", "1 AS id", "7 AS t"), ("t",))
+    assert [tuple(r) for r in hits.collect()] == [("s", "kettle", 1, 7)]
+    # words are not sent one by one
+    assert "explode(array_union" not in hits._jdf.queryExecution().toString() and "regexp_extract_all" not in hits._jdf.queryExecution().toString()

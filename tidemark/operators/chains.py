@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,29 +14,58 @@ def recurring(mentions: DataFrame, least: int) -> DataFrame:
     return mentions.where(F.length("entity") >= 2).groupBy("subject", "entity").agg(F.countDistinct("ts").alias("times")).where(F.col("times") >= least)
 
 
-#: Characters of words, and blanks around a name, in regular expressions inside of SQL text.
-_WORD, _BLANK = "[\\\\p{L}\\\\p{N}_]", "[\\\\s\\\\p{Z}]"
+#: Characters of words, and blanks around a name, in regular expressions inside of SQL text; captions of a subject that go to one task together, about.
+_BLANK, GROUP = "[\\\\s\\\\p{Z}]", 20_000
 
 
-def keyword_hits(entities: DataFrame, captions: DataFrame) -> DataFrame:
-    """(subject, entity, id): captions whose text has the name of an entity, whole words, plural or not, in any case.
+def keyword_hits(entities: DataFrame, captions: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(subject, entity, id, keep): captions whose text has the name of an entity, whole words, plural or not, in any case.
 
     Every name counts, whatever its characters, as it is, with its hyphens as spaces or left out, and with its spaces as hyphens or left out. Each run of word characters in a name stands in the text as a whole word, only
-    the last with a plural's end; the run that is rarest in the subject's captions meets them in an equi-join, and
-    the full pattern is tested on what meets. A name without word characters meets all captions of its subject.
+    the last with a plural's end; stretches of words in a text are looked up among the names. A name without word characters meets all captions of its subject. Captions move once; a subject's captions are cut into groups of about ``GROUP`` by id, and its names go to each of them. ``keep`` names columns of ``captions`` that an id determines.
     """
-    spelled = entities.selectExpr("subject", "entity", f"regexp_replace(lower(entity), '^{_BLANK}+|{_BLANK}+\\\\z', '') AS name")
-    names = spelled.selectExpr("subject", "entity", "explode(array(name, replace(name, '-', ' '), replace(name, '-', ''), replace(name, ' ', '-'), replace(name, ' ', ''))) AS name").where("name <> ''").distinct()
-    words = captions.selectExpr("subject", "id", f"explode(array_union(array(''), regexp_extract_all(lower(text), '{_WORD}+', 0))) AS w")
-    runs = names.selectExpr("*", f"regexp_extract_all(name, '{_WORD}+', 0) AS runs", f"name RLIKE '{_WORD}\\\\z' AS open").selectExpr("*", "posexplode(CASE WHEN size(runs) = 0 THEN array('') ELSE runs END) AS (k, run)")
-    forms = runs.selectExpr("subject", "entity", "name", "k", "explode(CASE WHEN open AND k = size(runs) - 1 THEN array(run, concat(run, 's'), concat(run, 'es')) ELSE array(run) END) AS w")
-    often = words.groupBy("subject", "w").agg(F.count("*").alias("n"))
-    met = forms.join(often, ["subject", "w"]).groupBy("subject", "entity", "name", "k").agg(F.sum("n").alias("n"), F.collect_set("w").alias("ws"))
-    rarest = met.groupBy("subject", "entity", "name").agg(F.min_by("ws", F.struct("n", "k")).alias("ws"))
-    keys = rarest.selectExpr("subject", "entity", f"concat('(?<!{_WORD})', regexp_replace(name, '([^\\\\p{{L}}\\\\p{{N}} ])', '\\\\\\\\$1'), '(s|es)?(?!{_WORD})') AS pattern", "explode(ws) AS w")
-    # texts come after the words have met, so that they are not moved once a word
-    met = keys.join(words, ["subject", "w"]).select("subject", "id", "entity", "pattern").distinct()
-    return met.join(captions.selectExpr("subject", "id", "lower(text) AS text"), ["subject", "id"]).where("text RLIKE pattern").select("subject", "entity", "id").distinct()
+    # columns are renamed, since both sides may come from one table
+    texts = captions.where("subject IS NOT NULL AND text IS NOT NULL").selectExpr("subject", "id", *keep, "lower(text) AS text")
+    texts = texts.toDF(*texts.columns)
+    # one row for each so many captions at most
+    many = texts.groupBy("subject").agg(F.count("*").alias("n")).where(f"n > {GROUP}").selectExpr("subject", f"n DIV {GROUP} + 1 AS groups")
+    placed = texts.join(F.broadcast(many), "subject", "left").selectExpr("subject", "pmod(xxhash64(id), coalesce(groups, 1L)) AS part", "id", *keep, "text")
+    names = entities.where("subject IS NOT NULL AND entity IS NOT NULL").select("subject", "entity").distinct().toDF("subject", "entity").join(F.broadcast(many), "subject", "left")
+    spread = names.selectExpr("subject", "explode(sequence(0L, coalesce(groups, 1L) - 1)) AS part", "entity", f"regexp_replace(lower(entity), '^{_BLANK}+|{_BLANK}+\\\\z', '') AS name")
+
+    def find(left: pa.Table, right: pa.Table) -> pa.Table:
+        entity, rows, had = [], [], set()
+        ids, told = right.column("id").to_pylist(), right.column("text").to_pylist()
+        # what stands from the first to the last word of a spelling -> the names, each with the test of its other characters if there are any
+        cores: dict[str, list] = {}
+        lengths, bare = set(), []
+        for whole, name in set(zip(left.column("entity").to_pylist() if told else (), left.column("name").to_pylist())):
+            for form in {name, name.replace("-", " "), name.replace("-", ""), name.replace(" ", "-"), name.replace(" ", "")} - {""}:
+                runs = [m.span() for m in re.finditer(r"\w+", form)]
+                core = form[runs[0][0] : runs[-1][1]] if runs else ""
+                test = None if core == form else re.compile(rf"(?<!\w){re.escape(form)}(?:s|es)?(?!\w)").search
+                if not runs:
+                    bare.append((whole, test))
+                    continue
+                lengths.add(len(runs))
+                for end in ("", "s", "es") if runs[-1][1] == len(form) else ("",):
+                    cores.setdefault(core + end, []).append((whole, test))
+        for k, text in enumerate(told if cores or bare else ()):
+            spans, met = [m.span() for m in re.finditer(r"\w+", text)], list(bare)
+            for n in lengths:
+                for (lo, _), (_, hi) in zip(spans, spans[n - 1 :]):
+                    met += cores.get(text[lo:hi], ())
+            for whole, test in met:
+                if (whole, ids[k]) not in had and (test is None or test(text)):
+                    had.add((whole, ids[k]))
+                    entity.append(whole)
+                    rows.append(k)
+        found = right.select(["subject", "id", *keep]).take(pa.array(rows, pa.int64()))
+        return found.add_column(1, "entity", pa.array(entity, pa.string()))
+
+    kinds = {f.name: f.dataType.simpleString() for f in placed.schema}
+    schema = f"subject string, entity string, id {kinds['id']}" + "".join(f", {c} {kinds[c]}" for c in keep)
+    return spread.toDF("own", "own_part", "entity", "name").groupBy("own", "own_part").cogroup(placed.groupBy("subject", "part")).applyInArrow(find, schema)
 
 
 def event_chains(mentions: DataFrame, least_steps: int = 2, least_mentions: int = 2) -> DataFrame:
@@ -110,7 +142,6 @@ def consolidate(facts: DataFrame, by: list[str], *, most: int = 20, alike: float
 
     def fold(batches):
         import numpy as np
-        import pyarrow as pa
 
         key, now, held, waiting, out = None, None, [], [], []
 
