@@ -62,7 +62,19 @@ def test_captions_move_once_and_in_groups(spark, monkeypatch):
     monkeypatch.setattr(chains, "GROUP", 4)
     assert found(spark, NAMES, TEXTS) == brute(NAMES, TEXTS)
     entities, captions = (spark.createDataFrame([("s", x)] * 2, f"subject string, {c} string") for x, c in (("kettle", "entity"), ("the kettle", "text")))
-    hits = chains.keyword_hits(entities, captions.selectExpr("*", "1 AS id", "7 AS t"), ("t",))
-    assert [tuple(r) for r in hits.collect()] == [("s", "kettle", 1, 7)]
+    hits = chains.keyword_hits(entities, captions.selectExpr("*", "1 AS id"))
+    assert [tuple(r) for r in hits.collect()] == [("s", "kettle", 1)]
     # words are not sent one by one
     assert "explode(array_union" not in hits._jdf.queryExecution().toString() and "regexp_extract_all" not in hits._jdf.queryExecution().toString()
+
+
+def test_only_recurring_names_meet_captions(spark, monkeypatch):
+    from conftest import SMALL
+
+    from tidemark.plans import chains as plans
+
+    asked, hits = [], plans.entity_hits
+    monkeypatch.setattr(plans, "entity_hits", lambda *args: asked.extend(args[2:]) or hits(*args))
+    plans.topic_chunks(spark, SMALL)
+    want = chains.recurring(plans.triples_entities(spark, SMALL), 2)
+    assert [x.count() for x in asked] == [want.count()]

@@ -18,18 +18,18 @@ def recurring(mentions: DataFrame, least: int) -> DataFrame:
 _BLANK, GROUP = "[\\\\s\\\\p{Z}]", 20_000
 
 
-def keyword_hits(entities: DataFrame, captions: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(subject, entity, id, keep): captions whose text has the name of an entity, whole words, plural or not, in any case.
+def keyword_hits(entities: DataFrame, captions: DataFrame) -> DataFrame:
+    """(subject, entity, id): captions whose text has the name of an entity, whole words, plural or not, in any case.
 
     Every name counts, whatever its characters, as it is, with its hyphens as spaces or left out, and with its spaces as hyphens or left out. Each run of word characters in a name stands in the text as a whole word, only
-    the last with a plural's end; stretches of words in a text are looked up among the names. A name without word characters meets all captions of its subject. Captions move once; a subject's captions are cut into groups of about ``GROUP`` by id, and its names go to each of them. ``keep`` names columns of ``captions`` that an id determines.
+    the last with a plural's end; stretches of words in a text are looked up among the names. A name without word characters meets all captions of its subject. Captions move once; a subject's captions are cut into groups of about ``GROUP`` by id, and its names go to each of them.
     """
     # columns are renamed, since both sides may come from one table
-    texts = captions.where("subject IS NOT NULL AND text IS NOT NULL").selectExpr("subject", "id", *keep, "lower(text) AS text")
+    texts = captions.where("subject IS NOT NULL AND text IS NOT NULL").selectExpr("subject", "id", "lower(text) AS text")
     texts = texts.toDF(*texts.columns)
     # one row for each so many captions at most
     many = texts.groupBy("subject").agg(F.count("*").alias("n")).where(f"n > {GROUP}").selectExpr("subject", f"n DIV {GROUP} + 1 AS groups")
-    placed = texts.join(F.broadcast(many), "subject", "left").selectExpr("subject", "pmod(xxhash64(id), coalesce(groups, 1L)) AS part", "id", *keep, "text")
+    placed = texts.join(F.broadcast(many), "subject", "left").selectExpr("subject", "pmod(xxhash64(id), coalesce(groups, 1L)) AS part", "id", "text")
     names = entities.where("subject IS NOT NULL AND entity IS NOT NULL").select("subject", "entity").distinct().toDF("subject", "entity").join(F.broadcast(many), "subject", "left")
     spread = names.selectExpr("subject", "explode(sequence(0L, coalesce(groups, 1L) - 1)) AS part", "entity", f"regexp_replace(lower(entity), '^{_BLANK}+|{_BLANK}+\\\\z', '') AS name")
 
@@ -60,11 +60,10 @@ def keyword_hits(entities: DataFrame, captions: DataFrame, keep: tuple[str, ...]
                     had.add((whole, ids[k]))
                     entity.append(whole)
                     rows.append(k)
-        found = right.select(["subject", "id", *keep]).take(pa.array(rows, pa.int64()))
+        found = right.select(["subject", "id"]).take(pa.array(rows, pa.int64()))
         return found.add_column(1, "entity", pa.array(entity, pa.string()))
 
-    kinds = {f.name: f.dataType.simpleString() for f in placed.schema}
-    schema = f"subject string, entity string, id {kinds['id']}" + "".join(f", {c} {kinds[c]}" for c in keep)
+    schema = f"subject string, entity string, id {placed.schema['id'].dataType.simpleString()}"
     return spread.toDF("own", "own_part", "entity", "name").groupBy("own", "own_part").cogroup(placed.groupBy("subject", "part")).applyInArrow(find, schema)
 
 

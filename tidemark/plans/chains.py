@@ -131,7 +131,8 @@ def topic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = triples_entities(spark, sf_dir)
     strong = C.recurring(rows, 2).select("subject", "entity")
     times = captions(spark, sf_dir).where("granularity = '30sec'").select("subject", "id", "start_ts")
-    met = entity_hits(spark, sf_dir).join(strong, ["subject", "entity"]).join(times, ["subject", "id"])
+    # names that do not recur meet no captions
+    met = entity_hits(spark, sf_dir, strong).join(times, ["subject", "id"])
     numbered = slices.numbered(met, ["subject", "entity"], ["start_ts", "id"], T.DAY)
     return numbered.groupBy("subject", "entity", F.expr("CAST((rn - 1) DIV 50 AS bigint)").alias("chunk")).agg(F.count("*").alias("captions"), F.min("start_ts").alias("first_ts"))
 
