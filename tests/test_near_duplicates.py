@@ -57,3 +57,18 @@ def test_no_pair_at_the_threshold_is_missed(spark):
         texts[2 * k], texts[2 * k + 1] = " ".join(words), " ".join(words[:-lost] + [f"v{k}x{i}" for i in range(lost)])
     assert sum(links for _, links in brute(texts).values()) == 540
     check(spark, texts)
+
+
+def shuffled(spark):
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+
+def test_texts_of_no_likeness_do_not_move(spark):
+    # texts that share phrases and are not alike: what is shuffled stays below the texts themselves
+    rng = random.Random(8)
+    phrases = [" ".join(f"w{rng.randrange(9000)}" for _ in range(8)) for _ in range(300)]
+    texts = {i: " ".join(rng.choice(phrases) for _ in range(24)) for i in range(900)}
+    before = shuffled(spark)
+    check(spark, texts)
+    assert shuffled(spark) - before < sum(map(len, texts.values()))
