@@ -50,3 +50,24 @@ def test_query_keeps_every_reached_node(spark):
     found = {x["id"]: x["score"] for x in entry.queries()["personalized_pagerank"](spark, SMALL).collect()}
     assert set(found) == {x for x in ids if want[at[x]] > 1e-15}
     assert max(abs(v - want[at[k]]) for k, v in found.items()) < 6e-10
+
+
+def test_walks_of_a_group_need_no_rounds_of_shuffles(spark, monkeypatch):
+    from tidemark.operators import memory_graph as G
+
+    rng = random.Random(5)
+    facts = [(f"S{s}", f"f{s}-{k}", f"e{rng.randrange(40)}", "holds", f"e{rng.randrange(40)}") for s in range(3) for k in range(60)]
+    df = spark.createDataFrame(facts, "subject string, fact string, s string, p string, o string")
+    asks = spark.createDataFrame([(k, f"S{k % 3}", f"e{k} holds e{k + 9}") for k in range(12)], "query bigint, subject string, text string")
+    rows = lambda: sorted((r["query"], r["rank"], r["fact"], r["score"]) for r in G.triple_walk(df, asks).collect())
+    monkeypatch.setattr(graph, "ROOM", 0)
+    want = rows()  # every walk in the rounds of settled_pagerank
+    monkeypatch.undo()
+
+    def never(*a, **b):
+        raise AssertionError("a walk that fits a task was shuffled")
+
+    monkeypatch.setattr(G, "settled_pagerank", never)
+    got = rows()
+    assert len(want) == 120 and [x[:3] for x in got] == [x[:3] for x in want]
+    assert max(abs(x[3] - y[3]) for x, y in zip(got, want)) < 2e-9
