@@ -71,3 +71,16 @@ def test_walks_of_a_group_need_no_rounds_of_shuffles(spark, monkeypatch):
     got = rows()
     assert len(want) == 120 and [x[:3] for x in got] == [x[:3] for x in want]
     assert max(abs(x[3] - y[3]) for x, y in zip(got, want)) < 2e-9
+
+
+def test_hybrid_retrieval_needs_no_rounds_of_shuffles(spark, monkeypatch):
+    from conftest import SMALL
+
+    import __spark_entry__ as entry
+    from tidemark.operators import memory_graph as G
+
+    def never(*a, **b):
+        raise AssertionError("a walk that fits a task was shuffled")
+
+    monkeypatch.setattr(G, "settled_pagerank", never)
+    assert entry.queries()["hybrid_retrieval"](spark, SMALL).count() > 0
