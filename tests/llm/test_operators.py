@@ -226,6 +226,21 @@ def test_cutoffs_tell_planted_defects():
     assert all((v.max(1) == 1).mean() > 0.95 for v in votes.values())
 
 
+def test_cutoffs_count_every_pair(spark, monkeypatch):
+    pairs = [(k, f"Where did Ann leave box {k}?", f"Ann left box {k} at the long table, next to a bag.") if k % 3 else (k, f"Wo hat Ann die Kiste {k} gelassen?", f"Die Kiste {k} steht noch auf dem Tisch, und sie ist offen.") for k in range(4500)]
+    df = spark.createDataFrame(pairs, "pair_id long, question string, response string")
+    seen, validated = [], pair_defects.validated
+    monkeypatch.setattr(pair_defects, "validated", lambda *given: seen.append(given) or validated(*given))
+    plain = lambda side: {d: sorted((p.tolist(), int(n)) for p, n in zip(*x)) for d, x in side.items()}
+    found = [{(r["defect"], r["cutoff"]) for r in pair_defects.defect_posteriors(df.repartition(n), "pair_id", "question", "response").select("defect", "cutoff").distinct().collect()} for n in (3, 7)]
+    (_, made, clean), (_, again, _) = seen
+    # no pair is left out, and how the rows lie tells nothing
+    assert {d: n.sum() for d, (_, n) in clean.items()} == dict.fromkeys(pair_defects.DEFECTS, 4500)
+    assert {d: n.sum() for d, (_, n) in made.items() if d != "language"} == {"empty": 4500, "copy": 4500, "truncated": 4500}
+    assert 1500 < made["language"][1].sum() < 2500
+    assert plain(made) == plain(again) and found[0] == found[1]
+
+
 def test_long_response_is_read_whole():
     q = "Where did Ann leave the box?"
     text = "Ann left it at the long table. " * 20_000
