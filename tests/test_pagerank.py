@@ -84,3 +84,27 @@ def test_hybrid_retrieval_needs_no_rounds_of_shuffles(spark, monkeypatch):
 
     monkeypatch.setattr(G, "settled_pagerank", never)
     assert entry.queries()["hybrid_retrieval"](spark, SMALL).count() > 0
+
+
+def test_triple_walk_asks_every_question(spark):
+    from conftest import SMALL
+
+    import __spark_entry__ as entry
+    from tidemark.plans.graph import triples
+
+    number = "CAST(regexp_extract(id, '([0-9]+)$', 1) AS bigint)"
+    told = triples(spark, SMALL).select("subject").where("s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL").distinct()
+    asked = spark.read.parquet(f"{SMALL}/qa_mcq.parquet").where("question IS NOT NULL").join(told, "subject").selectExpr(f"{number} AS query").distinct().count()
+    assert entry.queries()["triple_walk"](spark, SMALL).select("query").distinct().count() == asked > 1
+
+
+def test_facts_move_once(spark, monkeypatch):
+    from tidemark.operators import memory_graph as G
+
+    rng = random.Random(6)
+    df = spark.createDataFrame([(f"S{s}", f"f{s}-{k}", f"e{rng.randrange(40)}", "holds", f"e{rng.randrange(40)}") for s in range(3) for k in range(60)], "subject string, fact string, s string, p string, o string")
+    asks = spark.createDataFrame([(k, f"S{k % 3}", f"e{k % 5} holds") for k in range(12)], "query bigint, subject string, text string")
+    written, cut = [], G.cut
+    monkeypatch.setattr(G, "cut", lambda x: written.append(x.columns) or cut(x))
+    assert G.triple_walk(df, asks).count() == 120
+    assert not any("fact" in columns for columns in written)
