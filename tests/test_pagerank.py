@@ -108,3 +108,28 @@ def test_facts_move_once(spark, monkeypatch):
     monkeypatch.setattr(G, "cut", lambda x: written.append(x.columns) or cut(x))
     assert G.triple_walk(df, asks).count() == 120
     assert not any("fact" in columns for columns in written)
+
+
+def test_group_walks_rest_where_the_system_says():
+    rng = np.random.default_rng(8)
+    # hubs with leaves, a middle of random lines, a pair apart and a node without lines
+    a = np.concatenate([rng.integers(0, 12, 900), rng.integers(0, 300, 700), [1200]])
+    b = np.concatenate([rng.integers(300, 1200, 900), rng.integers(0, 300, 700), [1201]])
+    a, b = a[a != b], b[a != b]
+    n, w = 1203, np.ones(len(a))
+    first = np.zeros((n, 5))
+    first[[3, 700, 1200, 1202, 250], [0, 1, 2, 3, 4]] = 1
+    first[4, 0] = first[1202, 1] = 1
+    first /= first.sum(0)
+    m = np.zeros((n, n))
+    np.add.at(m, (a, b), 1)
+    m += m.T
+    total = m.sum(0)
+    x = np.linalg.solve(np.eye(n) - 0.85 * np.divide(m, total, out=np.zeros_like(m), where=total > 0), first)
+    walks = graph.GroupWalks(n, a, b, w, 0.85)
+    assert walks.levels is not None and len(walks.levels[1]) < 400
+    assert np.abs(walks.rest(first) - x / x.sum(0)).max() < 1e-13
+    walks.levels, walks.along = None, graph.Sums(np.concatenate([b, a]), np.concatenate([a, b]), n, np.ones(2 * len(a)))
+    assert np.abs(walks.rest(first) - x / x.sum(0)).max() < 1e-11
+    # two nodes joined twice in one line and once more are three times joined; what a walk can reach has a score
+    assert ((x > 1e-12) == walks.reached(first)).all()
