@@ -133,3 +133,15 @@ def test_group_walks_rest_where_the_system_says():
     assert np.abs(walks.rest(first) - x / x.sum(0)).max() < 1e-11
     # two nodes joined twice in one line and once more are three times joined; what a walk can reach has a score
     assert ((x > 1e-12) == walks.reached(first)).all()
+
+
+def test_hybrid_retrieval_asks_every_question(spark):
+    from conftest import SMALL
+
+    import __spark_entry__ as entry
+    from tidemark.plans.temporal import captions
+
+    number = "CAST(regexp_extract(id, '([0-9]+)$', 1) AS bigint)"
+    told = captions(spark, SMALL).where("end_ts <= 150000").select("subject").distinct()
+    asked = spark.read.parquet(f"{SMALL}/qa_mcq.parquet").where("question IS NOT NULL").join(told, "subject").selectExpr(f"{number} AS query").distinct().count()
+    assert entry.queries()["hybrid_retrieval"](spark, SMALL).select("query").distinct().count() == asked > 1
