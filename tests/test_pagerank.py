@@ -145,3 +145,12 @@ def test_hybrid_retrieval_asks_every_question(spark):
     told = captions(spark, SMALL).where("end_ts <= 150000").select("subject").distinct()
     asked = spark.read.parquet(f"{SMALL}/qa_mcq.parquet").where("question IS NOT NULL").join(told, "subject").selectExpr(f"{number} AS query").distinct().count()
     assert entry.queries()["hybrid_retrieval"](spark, SMALL).select("query").distinct().count() == asked > 1
+
+
+def test_vectors_of_another_length_have_no_direction():
+    import pyarrow as pa
+
+    small = pa.chunked_array([pa.array([[3, 4], None, None, [0, 0]], pa.list_(pa.int8()))])
+    v = pa.chunked_array([pa.array([None, [0.5, 0.0], [1.0, 2.0, 3.0], None], pa.list_(pa.float64()))])
+    x, good = graph.unit_rows(2, small, v)
+    assert x.tolist() == [[0.6, 0.8], [1.0, 0.0], [0.0, 0.0], [0.0, 0.0]] and good.tolist() == [True, True, False, False]
